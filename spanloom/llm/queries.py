@@ -6,15 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm import secrets, url_filter
 from spanloom.llm.common import table
 from spanloom.llm.near_dedup import near_duplicates
 
 
+def op3_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_token_indexed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_multipart_secrets": op3_multipart_secrets,
+    "op9_token_indexed_urls": op9_token_indexed_urls,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_multipart_secrets": secrets.oracle_sql(),
+    "op9_token_indexed_urls": url_filter.oracle_sql(),
+}
