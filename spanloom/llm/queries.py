@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm import secrets, url_filter
 from spanloom.llm.common import table
 from spanloom.llm.near_dedup import near_duplicates
+from spanloom.llm.packing import pack_documents
 
 
 def op3_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +24,15 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_multipart_secrets": op3_multipart_secrets,
     "op9_token_indexed_urls": op9_token_indexed_urls,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_multipart_secrets": secrets.oracle_sql(),
