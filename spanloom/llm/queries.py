@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import secrets, url_filter
+from spanloom.llm import quality, secrets, url_filter
 from spanloom.llm.common import table
 from spanloom.llm.near_dedup import near_duplicates
 from spanloom.llm.packing import pack_documents
 
 
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for ``docs``, learned from the labelled documents that aren't held out."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~quality.held_out())
+    scored = quality.score(docs, quality.train(table(spark, sf_dir, "documents"), marks))
+    return scored.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
 def op3_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -29,6 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_subword_quality": op2_subword_quality,
     "op3_multipart_secrets": op3_multipart_secrets,
     "op9_token_indexed_urls": op9_token_indexed_urls,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
