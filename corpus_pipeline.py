@@ -8,21 +8,50 @@ input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm.common import stage, table
+from spanloom.llm import quality
+from spanloom.llm.common import absent, stage, table
+from spanloom.llm.decontaminate import without_leaks
 from spanloom.llm.near_dedup import near_duplicates
+from spanloom.llm.packing import pack_documents
+from spanloom.llm.secrets import redact
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+THRESHOLD = 0.3
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score for label 1 is under THRESHOLD go.  The classifier learns from the labelled rows that aren't held out."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~quality.held_out())
+    return quality.keep(docs, quality.train(docs, marks), THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the least doc_id."""
-    drop = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(drop, docs.doc_id.eqNullSafe(drop.doc_id), "left_anti")
+    return absent(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind in brackets; every document stays."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in sequences of 1024 tokens."""
+    return pack_documents(docs)
 
 
 STAGES = [
-    ("near_dedup", near_dedup),
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("best-fit packing", packing),
 ]
 
 #: Tokenising, learning and approximate search are not expressible in SQL; tests/llm holds every stage against brute force.
@@ -32,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

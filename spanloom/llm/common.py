@@ -137,6 +137,24 @@ def in_filter(bits: bytes, slots: np.ndarray) -> np.ndarray:
     return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
+def absent(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``ids`` (one column of the same name).
+
+    A bitmap passes most rows on where they are; only those whose bit is set
+    are shuffled for the exact join.  Null ids stay.
+    """
+    ship(docs.sparkSession)
+    ids = stage(ids.distinct(), "ids")
+    bits = membership_filter(ids, column)
+
+    @F.arrow_udf("boolean")
+    def maybe(slots: pa.Array) -> pa.Array:
+        return pa.array(in_filter(bits, slots.to_numpy(zero_copy_only=False)))
+
+    flagged = docs.withColumn("__maybe", F.col(column).isNotNull() & maybe(slot(column)))
+    return flagged.where(~F.col("__maybe")).drop("__maybe").unionByName(flagged.where("__maybe").drop("__maybe").join(ids, column, "left_anti").select(*docs.columns))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64's constants)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -192,6 +192,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_score, model=model), "doc_id long, score double")
 
 
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [x or "" for x in batch.column(text_at).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        for a, b in runs(offsets, 1 << 20):
+            yield batch.slice(a, b - a).filter(pa.array(model.score(texts[a:b]) >= least))
+
+
+def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose text scores ``least`` or more; nothing is shuffled."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(partial(_keep, model=model, text_at=docs.columns.index(text_col), least=least), docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     """Rows never learned from: crc32 of the id as text is divisible by 5."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0

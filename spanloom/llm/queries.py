@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import quality, secrets, url_filter
+from spanloom.llm import decontaminate, quality, secrets, url_filter
 from spanloom.llm.common import table
 from spanloom.llm.near_dedup import near_duplicates
 from spanloom.llm.packing import pack_documents
@@ -32,6 +32,10 @@ def op9_token_indexed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_subword_quality": op2_subword_quality,
     "op3_multipart_secrets": op3_multipart_secrets,
+    "op4_qgram_decontamination": op4_qgram_decontamination,
     "op9_token_indexed_urls": op9_token_indexed_urls,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
