@@ -15,11 +15,12 @@ Pairs are confirmed on the full sets.  They are not enumerated inside a bucket:
 2. In every bucket the least node is the pivot; each node is first compared
    with the one pivot that it shares most buckets with.
 3. What is confirmed is merged into components.  Only pairs of a bucket that
-   are still in different components can add anything; two further rounds
-   compare them with other pivots, and the last one takes every such pair that
-   has not been compared.  No bucket is
-   capped and no partner is dropped: pairs inside a component are skipped
-   because they can't change it.
+   are still in different components can add anything.  In small buckets they
+   are compared as pairs.  A large one is cut into blocks of a bounded number
+   of shingles, and two blocks at a time are compared as the product of their
+   incidence matrices, which returns no more links than it takes to join what
+   is linked: the pairs of a large bucket are never rows.  No bucket is capped
+   and no partner is dropped.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from spanloom.llm.components import components
 from spanloom.llm.shingles import shingle_hashes, sorted_sets, word_hashes
 
 HASHES, CHUNKS, ERRORS, DISTANCE, WORDS = 40, 10, 1, 19, 5
-PIVOT_ROUNDS = 2
+#: A bucket of so many nodes is compared by pairs, a larger one by blocks of about so many shingles.
+SMALL, BLOCK_SHINGLES = 16, 250_000
 _A, _B = seeds(HASHES, 21) | np.uint64(1), seeds(HASHES, 22)
 
 
@@ -130,6 +132,44 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long, linked boolean")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of each pair's intersection, as a matrix; columns are taken in runs, so memory is bounded by the rows."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    rank = np.cumsum(counts > 1) - 1
+    useful = counts[inverse] > 1
+    owner, column = owner[useful], rank[inverse[useful]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(counts[counts > 1].size)
+    for low in range(0, width, 4096):
+        x, y = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((n, min(4096, width - low)), np.float32)
+        part[owner[x:y], column[x:y] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """Links between components within a pair of blocks: as many as it takes to join what is linked."""
+    component = rows["component"].to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["members"].combine_chunks()]
+    size = np.array([len(x) for x in sets], np.float32)
+    both = shared_counts(sets)
+    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    linked |= component[:, None] == component[None, :]
+    label = component.copy()
+    while True:
+        lower = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1)
+        if (lower == label).all():
+            break
+        label = lower
+    pairs = np.unique(np.stack([component, label], 1)[component != label], axis=0).reshape(-1, 2)
+    return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+
+
 def _could(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= 75 * greatest({a}, {b})"
 
@@ -149,34 +189,35 @@ def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     first = could.groupBy(F.col("node").alias("v"), F.col("pivot").alias("u")).count()
     first = first.groupBy("v").agg(F.max(F.struct("count", (-F.col("u")).alias("u"))).alias("x")).select((-F.col("x.u")).alias("u"), "v")
     done = stage(confirm(first, sets), "confirmed")
-    tested = done.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     found = components(done.where("linked").select("u", "v"))
     labels = stage(kept.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = stage(kept.select("key", "node", "n").join(labels, "node"), "placed")
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("p")
-        crossed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low < high")
-        if turn < PIVOT_ROUNDS:
-            pairs = placed.join(crossed.select("key", "p"), "key").where("component <> p.component").where(_could("n", "p.n"))
-            pairs = pairs.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v"))
-        else:
-            left = placed.join(crossed.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("node").alias("w"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = left.join(right, "key").where("component <> other and node < w").where(_could("n", "m")).select(F.col("node").alias("u"), F.col("w").alias("v"))
-        more = stage(confirm(pairs.distinct().join(tested, ["u", "v"], "left_anti"), sets), "confirmed")
-        tested = tested.unionByName(more.select("u", "v"))
-        linked = more.where("linked").select("u", "v")
-        unstage(placed)
-        if linked.isEmpty():
-            continue
-        for end in ("u", "v"):  # links between components
-            linked = linked.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end).drop(end).withColumnRenamed(f"{end}_in", end)
-        merged = components(linked).select(F.col("node").alias("component"), F.col("component").alias("into"))
-        labels = stage(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
-    unstage(kept, sets)
+    opened = _open(kept.select("key", "node", "n"), labels)
+    small = opened.where(f"members <= {SMALL}")
+    other = small.select("key", F.col("node").alias("w"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = small.join(other, "key").where("component < other").where(_could("n", "m")).select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
+    linked = confirm(pairs, sets).where("linked").select("u", "v")
+    for end in ("u", "v"):
+        linked = linked.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end).drop(end).withColumnRenamed(f"{end}_in", end)
+    large = opened.where(f"members > {SMALL}").withColumn("blocks", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "component").join(sets, "node")
+    blocks = large.select("key", "i", "j", "component", "members").groupBy("key", "i", "j").applyInArrow(_block, "u long, v long")
+    more = stage(linked.select("u", "v").unionByName(blocks).distinct(), "links")
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    labels = stage(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+    unstage(kept, sets, opened)
     return labels
 
 
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the component and the bucket's size."""
+    placed = stage(rows.join(labels, "node"), "placed")
+    crossed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    out = stage(placed.join(crossed.where("low < high").select("key", "members", "shingles"), "key"), "open")
+    unstage(placed)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate classes of ``docs``.
 
