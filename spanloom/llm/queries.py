@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, quality, secrets, url_filter
 from spanloom.llm.common import table
+from spanloom.llm.main_text import extract_main_text
 from spanloom.llm.near_dedup import near_duplicates
+from spanloom.llm.neighbours import nearest
 from spanloom.llm.packing import pack_documents
 
 
@@ -36,6 +38,14 @@ def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_subword_quality": op2_subword_quality,
     "op3_multipart_secrets": op3_multipart_secrets,
     "op4_qgram_decontamination": op4_qgram_decontamination,
+    "op6_text_tag_ratio": op6_text_tag_ratio,
+    "op7_additive_quantisation": op7_additive_quantisation,
     "op9_token_indexed_urls": op9_token_indexed_urls,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
