@@ -114,13 +114,14 @@ def runs(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, i
 FILTER_BITS = 25
 
 
-def membership_filter(nodes: DataFrame, column: str) -> bytes:
+def membership_filter(nodes: DataFrame, column: str, hashed: bool = False) -> bytes:
     """A bitmap of 2^25 bits (4 MB, whatever the number of rows) of the hashes of ``column``.
 
     It lets a scan pass over rows that no join will want, without a shuffle of
     their texts.  A set bit proves nothing: the exact join comes after it.
+    With ``hashed`` the column holds the bits' numbers themselves.
     """
-    at = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)) + 1
+    at = (F.col(column) if hashed else slot(column)) + 1
     rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
     out = bytearray(1 << (FILTER_BITS - 3))
     for b, m in rows:

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, quality, secrets, url_filter
+from spanloom.llm import decontaminate, quality, secrets, url_filter, warc
 from spanloom.llm.common import table
 from spanloom.llm.main_text import extract_main_text
 from spanloom.llm.near_dedup import near_duplicates
 from spanloom.llm.neighbours import nearest
 from spanloom.llm.packing import pack_documents
+from spanloom.llm.passages import repeated_passages
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build_derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")), ("page_id",))
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +43,10 @@ def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -55,9 +64,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_subword_quality": op2_subword_quality,
     "op3_multipart_secrets": op3_multipart_secrets,
     "op4_qgram_decontamination": op4_qgram_decontamination,
+    "op5_compact_windows": op5_compact_windows,
     "op6_text_tag_ratio": op6_text_tag_ratio,
     "op7_additive_quantisation": op7_additive_quantisation,
     "op9_token_indexed_urls": op9_token_indexed_urls,
