@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Legal forms, stop words and abbreviations that results depend on.
 NAME_MAP_V1 = {
@@ -122,7 +123,7 @@ _NOT_WORD = r"[^\p{L}\p{N}_\s]"
 NUMBER = r"(?U)\b\d+[a-z]?\b"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in values.to_pylist()], pa.string())
 

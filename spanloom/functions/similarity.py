@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -43,13 +44,13 @@ def _batch(measure, a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def indel_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """2 * LCS / (length + length); 0 if either is blank."""
     return _batch(_ratio, a, b)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def matcher_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Ratcliff-Obershelp ratio of the standard library."""
     return _batch(lambda x, y: SequenceMatcher(None, x, y).ratio(), a, b)

@@ -33,7 +33,7 @@ def read_records(spark: SparkSession, path: str, source: str, profile: str = "v2
 
 def explode_truth(truth: DataFrame) -> DataFrame:
     """Distinct (source1_entity_id, matched_entity_id) from comma lists; blanks are dropped."""
-    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), lambda x: F.trim(x)), lambda x: x != "")
     return truth.where(F.trim("source1_entity_id") != "").select(F.trim("source1_entity_id").alias("source1_entity_id"), F.explode(ids).alias("matched_entity_id")).distinct()
 
 
