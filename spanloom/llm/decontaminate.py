@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BLOCK_BYTES, runs, ship, utf8
+from spanloom.llm.common import BLOCK_BYTES, lean, runs, ship, utf8
 
 Q, RATE, SPARE = 8, 0.08, 12
 #: Items with fewer bytes after normalisation say too little to be traced.
@@ -197,6 +197,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(items)
 
 
+@lean
 def _report(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     table = index.table()
     for batch in batches:
@@ -240,6 +241,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+@lean
 def _clean(batches: Iterator[pa.RecordBatch], index: Index, text_at: int) -> Iterator[pa.RecordBatch]:
     table = index.table()
     for batch in batches:

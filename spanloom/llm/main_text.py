@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ship
+from spanloom.llm.common import lean, ship
 
 SIGMA, WINDOW, SHARE = 1.0, 2, 0.35
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,6 +179,7 @@ def main_text(html: str) -> str:
     return "\n".join(content_lines(lines, parser.marked))
 
 
+@lean
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import in_filter, membership_filter, runs, seeds, ship, slot, stage, unstage, utf8
+from spanloom.llm.common import in_filter, lean, membership_filter, runs, seeds, ship, slot, stage, unstage, utf8
 from spanloom.llm.components import components
 from spanloom.llm.shingles import shingle_hashes, sorted_sets, word_hashes
 
@@ -57,6 +57,7 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column(1))
@@ -100,6 +101,7 @@ def keys(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*made)).alias("key"), "node", "n")
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         batch = batch.filter(pa.array(in_filter(bits, batch.column(2).to_numpy(zero_copy_only=False))))
@@ -112,6 +114,7 @@ def _sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordB
             )
 
 
+@lean
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows u, v, set of u, set of v become u, v, whether 100 * intersection >= 75 * union."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ship, stage
+from spanloom.llm.common import lean, ship, stage
 
 #: Vectors that the codebooks are learned from, at most.
 SAMPLE = 20_000
@@ -88,6 +88,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
+@lean
 def _encode(batches: Iterator[pa.RecordBatch], books: Codebooks, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -120,6 +121,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, n
     return ids[order], scores[order]
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch], books: Codebooks, keep: int) -> Iterator[pa.RecordBatch]:
     """The best rows for each query of a block, by table lookups over one shard after another.
 
@@ -157,6 +159,7 @@ def _scan(batches: Iterator[pa.RecordBatch], books: Codebooks, keep: int) -> Ite
         yield told()
 
 
+@lean
 def _exact(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = _matrix(batch.column(2), size), _matrix(batch.column(3), size)

@@ -30,27 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ship, stage
+from spanloom.llm.common import lean, runs, ship, stage, utf8
 from spanloom.llm.tokenise import ids_of
 
 CAPACITY, END = 1024, 2
 #: Ranks are dealt over 64 buckets for each length at least, and more where buckets would hold more than this.
 BUCKET_ROWS = 1_000_000
-_CHUNK_CHARS = 3_000_000
+#: Texts go to the encoder in runs of about so many bytes.
+_CHUNK_BYTES = 500_000
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encoder = ids_of(path)
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        at = 0
-        while at < len(texts):
-            stop, chars = at, 0
-            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= _CHUNK_CHARS):
-                chars += len(texts[stop])
-                stop += 1
+        column = batch.column(1)
+        for at, stop in runs(utf8(column)[1], _CHUNK_BYTES):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.batch(texts[at:stop]), at):
+            for i, ids in enumerate(encoder.batch([x or "" for x in column.slice(at, stop - at).to_pylist()]), at):
                 raw, n = np.append(ids, end).astype("<u4").tobytes(), len(ids) + 1
                 head = n % capacity or capacity
                 cuts = [0, *range(head, n + 1, capacity)]
@@ -60,7 +57,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int)
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-            at = stop
+    encoder.clear()  # the worker lives on
 
 
 def tokenise_and_cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, capacity: int = CAPACITY) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import mix64, runs, ship
+from spanloom.llm.common import lean, mix64, runs, ship, utf8
 
 #: Labelled rows to learn from, at most; fewer are all taken.
 SAMPLE = 5000
@@ -40,7 +40,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, int(n).bit_length())
+        size = 1 << max(16, int(n).bit_length())
         with np.errstate(over="ignore"):
             _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
@@ -178,12 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r["text"] or "" for r in rows], np.array([r["label"] for r in rows], np.int64))
 
 
+def _scores(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray]]:
+    for a, b in runs(utf8(column)[1], 1 << 19):
+        yield a, b, model.score([x or "" for x in column.slice(a, b - a).to_pylist()])
+
+
+@lean
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        for a, b in runs(offsets, 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(texts[a:b]))], names=["doc_id", "score"])
+        for a, b, scores in _scores(batch.column(1), model):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores)], names=["doc_id", "score"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -192,12 +196,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_score, model=model), "doc_id long, score double")
 
 
+@lean
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [x or "" for x in batch.column(text_at).to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        for a, b in runs(offsets, 1 << 20):
-            yield batch.slice(a, b - a).filter(pa.array(model.score(texts[a:b]) >= least))
+        for a, b, scores in _scores(batch.column(text_at), model):
+            yield batch.slice(a, b - a).filter(pa.array(scores >= least))
 
 
 def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:

@@ -22,8 +22,8 @@ from spanloom.llm.common import mix64, seeds
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _LIMIT = 0x250
-#: Splits that a worker keeps; beyond that it starts again. About 100 bytes each.
-CACHE = 1_500_000
+#: Splits that a worker keeps; beyond that it starts again. About 150 bytes each.
+CACHE = 400_000
 
 
 def _classes() -> np.ndarray:
@@ -44,7 +44,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """An odd number's powers modulo 2^64, and their inverses."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, int(n).bit_length())
+        size = 1 << max(16, int(n).bit_length())
         with np.errstate(over="ignore"):
             _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]

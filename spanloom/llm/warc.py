@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ship
+from spanloom.llm.common import lean, ship
 
 _SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b.*?(?:</head\s*>|(?=<body\b)|\Z)|<!doctype[^>]*>", re.I | re.S)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
@@ -84,6 +84,7 @@ def derivatives(record_id: str | None, uri: str | None, date: str | None, header
     return out
 
 
+@lean
 def _derive(batches: Iterator[pa.RecordBatch], schema: pa.Schema, extra: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -164,6 +165,7 @@ def parse_warc(file) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, file.read(int(headers.get("content-length", 0)))
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column(0):
