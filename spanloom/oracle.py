@@ -11,7 +11,7 @@ from spanloom.functions.keys import KEYS
 from spanloom.operators.features import FLAGS
 from spanloom.operators.forensics import RECOVERY
 from spanloom.plans import blocking as B
-from spanloom.queries import CAPS, SAMPLE, THRESHOLDS
+from spanloom.queries import CAPS, COMBINED, SAMPLE, THRESHOLDS
 
 
 def _list(words) -> str:
@@ -200,7 +200,24 @@ _ANY_ADDRESS = every(["address_key", "address_token_sig", "address_number"], "OR
 _NT = B.Rule(("address_number", "address_token_sig"))
 _FINAL = B.final_rules(3, 10, 1)
 
+_TEXTS = {
+    "v1": _tokens(_plain("business_name")),
+    "v2": _V2_NAME,
+    "fast": _tokens(_wordy(_substrings("lower(business_name)", N.NAME_SUBSTRINGS_FAST))),
+    "ascii": _ASCII.format(_substrings("lower(business_name)", N.NAME_SUBSTRINGS_FAST)),
+    "analysis": _tokens(_wordy("lower(business_name)")),
+    "base": _tokens("lower(business_name)"),
+    "diagnose": _tokens(_substrings(_plain("business_name"), N.NAME_SUBSTRINGS_DIAGNOSE)),
+}
+
 ORACLE_SQL: dict[str, str] = {
+    "first_positive_pairs": f"WITH {KEYED}, x AS (SELECT s, c, row_number() OVER (ORDER BY doc_id, c) AS row_no FROM truth JOIN s1 ON entity_id = s) SELECT {PAIR}, row_no FROM x WHERE row_no <= {SAMPLE}",
+    "normalise_profiles": f"WITH {ENTITIES} SELECT entity_id, {', '.join(f'{_join(x)} AS {n}' for n, x in _TEXTS.items())} FROM entities",
+    "address_numbers": f"WITH {ENTITIES}, x AS (SELECT entity_id, list_sort(list_distinct(list_filter({_ASCII.format(_substrings('lower(business_address)', N.NAME_SUBSTRINGS_FAST))}, lambda x: regexp_full_match(x, '[0-9]+[a-z]?')))) AS n FROM entities) SELECT entity_id, {_join('n', ',')} AS numbers FROM x",
+    "combination_recovery": f"{MISSED} SELECT {', '.join(count(every(ks, 'AND'), '_and_'.join(ks)) for ks in COMBINED)} FROM p {WIDE}",
+    "s1_rule_counts": f"{TEN} SELECT s AS source1_entity_id, rule, count(*) AS candidates FROM raw GROUP BY s, rule",
+    "jaccard_both_empty": f"WITH {KEYED}, p AS (SELECT * FROM truth), x AS (SELECT s, c, list_distinct(list_filter(string_split(a.address_key, ' '), lambda x: x <> '')) AS aa, list_distinct(list_filter(string_split(b.address_key, ' '), lambda x: x <> '')) AS ba FROM p {WIDE}) SELECT {PAIR}, round(CASE WHEN len(aa) = 0 AND len(ba) = 0 THEN 1.0::DOUBLE WHEN len(aa) = 0 OR len(ba) = 0 THEN 0.0 ELSE len(list_intersect(aa, ba)) / len(list_distinct(list_concat(aa, ba))) END, 6) AS jaccard FROM x",
+    "score_statistics": f"{SCORED} SELECT min(score) AS least, max(score) AS most, round(avg(score), 9) AS mean FROM scored",
     "truth_explode": f"WITH {KEYED} SELECT s AS source1_entity_id, c AS matched_entity_id FROM truth",
     "truth_for_sample": f"WITH {KEYED} SELECT {PAIR} FROM truth WHERE s IN (SELECT entity_id FROM s1 ORDER BY doc_id LIMIT {SAMPLE})",
     "missing_records": f"WITH {KEYED} SELECT DISTINCT 'S2-' || doc_id AS entity_id FROM entities WHERE 'S2-' || doc_id NOT IN (SELECT entity_id FROM rec)",

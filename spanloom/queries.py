@@ -6,9 +6,11 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import keys as K
+from spanloom.functions import normalise as N
 from spanloom.functions import similarity as sim
 from spanloom.functions.keys import KEYS
 from spanloom.operators import caps, evaluate, features, forensics, labels, model, output
@@ -21,6 +23,7 @@ FINAL = B.final_rules(3, 10, 1)
 NUMBER_TOKEN, FIRST_TOKEN, PREFIX_NUMBER = FINAL[3], FINAL[4], FINAL[5]
 CAPS = [1, 2, 3, 5, 10, 25, 50, None]
 SAMPLE = 100
+COMBINED = [("name_prefix_sig", "address_number"), ("name_suffix_sig", "address_number"), ("first_name_token", "address_number"), ("first_name_token", "address_token_sig"), ("address_number", "address_token_sig"), ("name_prefix_sig", "address_token_sig")]
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
@@ -100,9 +103,26 @@ def sample_first_n(t: Tables) -> DataFrame:
     return t.s1.orderBy("doc_id").limit(SAMPLE).select("entity_id", "business_name", "business_address", "country")
 
 
+@query
+def first_positive_pairs(t: Tables) -> DataFrame:
+    number = F.row_number().over(W.orderBy("doc_id", C))
+    first = t.truth.join(t.s1.select(F.col("entity_id").alias(S), "doc_id"), S).orderBy("doc_id", C).limit(SAMPLE)
+    return first.withColumn("row_no", number).select(S, C, *long("row_no"))
+
+
 # Keys
 
 
+@query
+def normalise_profiles(t: Tables) -> DataFrame:
+    return t.entities.select("entity_id", *(N.collapse(N.normalise(F.col("business_name"), p)).alias(p) for p in ("v1", "v2", "fast", "ascii", "analysis", "base", "diagnose")))
+
+
+@query
+def address_numbers(t: Tables) -> DataFrame:
+    return t.entities.select("entity_id", F.array_join(F.array_sort(K.address_numbers(F.col("business_address"))), ",").alias("numbers"))
+
+
 def keys_query(*columns: str, profile: str = "v2"):
     return lambda spark, sf_dir: K.add_keys(load(spark, sf_dir).entities, profile).select("entity_id", *columns)
 
@@ -405,9 +425,33 @@ def zero_candidate_diag(t: Tables) -> DataFrame:
     return forensics.zero_candidates(t.s1, t.rec, B.TEN).select(S, "country", *long("country_records"))
 
 
+@query
+def combination_recovery(t: Tables) -> DataFrame:
+    w = missed_wide(t)
+    return w.agg(*(forensics.count_if(forensics.all_of(a, b), f"{a}_and_{b}") for a, b in COMBINED))
+
+
+@query
+def s1_rule_counts(t: Tables) -> DataFrame:
+    counts = B.raw_candidates(t.s1, t.rec, B.TEN).groupBy(S, "rule_idx").agg(F.count("*").alias("candidates"))
+    return counts.select(S, rule_names(B.TEN), "candidates")
+
+
 # Features and labels
 
 
+@query
+def jaccard_both_empty(t: Tables) -> DataFrame:
+    words = lambda k: F.filter(F.split(F.col(k), " "), lambda x: x != "")
+    w = features.enrich(t.truth, t.s1, t.rec)
+    return w.select(S, C, F.round(sim.jaccard(words("s_address_key"), words("r_address_key"), both_empty=1.0), 6).alias("jaccard"))
+
+
+@query
+def score_statistics(t: Tables) -> DataFrame:
+    return plain_score(t).agg(F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.avg("score"), 9).alias("mean"))
+
+
 @query
 def features_exact(t: Tables) -> DataFrame:
     return features.enrich(t.truth, t.s1, t.rec).select(S, C, *(c.cast("bigint").alias(n) for n, c in features.exact_flags().items()))
