@@ -71,6 +71,37 @@ def test_every_exact_repeat_is_found(spark):
     assert expected and all(r["similarity"] >= 0.75 for r in rows)
 
 
+def sequences(*texts):
+    s, at = P.shingle_hashes(*P.word_hashes(*utf8(pa.array(texts))), 5)
+    return [s[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_a_passage_is_found_where_the_other_text_repeats_part_of_it():
+    rnd = random.Random(12)
+    x, y = noise(rnd, 30), noise(rnd, 30)
+    a, b = sequences(f"{x} {y}", f"{x} {noise(rnd, 20)} {x} {y}")
+    assert P.common_passages(a, b) == [(0, 56, 50, 106, 1.0)]
+    assert [p[:2] for p in P.common_passages(b, a)] == [(50, 106)]
+    assert P.common_passages(*sequences(" ".join(["v"] * 50), " ".join(["v"] * 34) + " " + noise(rnd, 60))) == []
+
+
+def test_every_exact_window_is_covered_in_texts_with_repeated_lines():
+    rnd = random.Random(13)
+    windows = 0
+    for _ in range(150):
+        lines = [noise(rnd, rnd.choice([1, 3, 8, 15, 30, 60])) for _ in range(5)]
+        a, b = sequences(*(" ".join(rnd.choice(lines) if rnd.random() < 0.6 else noise(rnd, rnd.randint(1, 30)) for _ in range(rnd.randint(2, 14))) for _ in "ab"))
+        held = {b[i : i + P.LEAST].tobytes() for i in range(len(b) - P.LEAST + 1)}
+        covered = np.zeros(len(a), bool)
+        for p in P.common_passages(a, b):
+            covered[p[0] : p[1]] = True
+        for i in range(len(a) - P.LEAST + 1):
+            if a[i : i + P.LEAST].tobytes() in held:
+                windows += 1
+                assert covered[i : i + P.LEAST].all()
+    assert windows > 100
+
+
 def leaks(docs, *texts, items=(ITEM,)):
     spark = docs("x").sparkSession
     bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, doc_id long")
