@@ -85,6 +85,17 @@ def test_a_passage_is_found_where_the_other_text_repeats_part_of_it():
     assert P.common_passages(*sequences(" ".join(["v"] * 50), " ".join(["v"] * 34) + " " + noise(rnd, 60))) == []
 
 
+def test_texts_are_compared_where_the_first_of_a_group_lacks_the_passage(spark, docs):
+    rnd = random.Random(14)
+    texts, expected = [], set()
+    for k in range(24):
+        words = noise(rnd, 52).split()
+        held = words[: rnd.choice([45, 48])] if k % 2 else words[-48:]
+        texts += [f"{noise(rnd, 20)} {' '.join(held)} {noise(rnd, 20)}"] + [f"{noise(rnd, 20)} {' '.join(words)} {noise(rnd, 20)}" for _ in range(2)]
+        expected.add((3 * k + 2, 3 * k + 1))
+    assert expected <= {(r["doc_id"], r["other_id"]) for r in P.repeated_passages(docs(*texts)).collect()}
+
+
 def test_every_exact_window_is_covered_in_texts_with_repeated_lines():
     rnd = random.Random(13)
     windows = 0
