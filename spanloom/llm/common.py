@@ -4,8 +4,8 @@ Stage tables
     ``stage(df, name)`` writes a DataFrame as Parquet below the folder that the
     cluster names in ``spark.checkpoint.dir`` and reads it back.  That cuts the
     lineage with one computation, survives the loss of executors, and is seen
-    by every executor.  Only where the setting is absent (tests, notebooks) is
-    a folder of our own used.
+    by every executor; the shuffle files behind it are removed at once.  Only in
+    local mode, and where the setting is absent, is a folder of our own used.
 
 Bytes of Arrow strings
     ``utf8`` views a string column as one byte array plus offsets, so kernels
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to the byte kernels in runs of about so many bytes.
 BLOCK_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def lean(task):
@@ -49,9 +51,11 @@ def lean(task):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for stage tables: ``spark.checkpoint.dir``, else one of our own."""
+    """The folder for stage tables: ``spark.checkpoint.dir``, else, in local mode, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -61,7 +65,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the rows are stored when the write ends, and its shuffles are of no use then
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -129,31 +138,39 @@ def runs(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         at = end
 
 
-FILTER_BITS = 25
+#: A membership filter has at least so many bits for each entry, and at most MOST_BITS (32 MB).
+BITS_EACH, MOST_BITS = 8, 1 << 28
 
 
-def membership_filter(nodes: DataFrame, column: str, hashed: bool = False) -> bytes:
-    """A bitmap of 2^25 bits (4 MB, whatever the number of rows) of the hashes of ``column``.
+def membership_filter(nodes: DataFrame, column: str) -> bytes:
+    """A bitmap of the hashes of ``column``, sized by the number of rows (read twice).
 
     It lets a scan pass over rows that no join will want, without a shuffle of
-    their texts.  A set bit proves nothing: the exact join comes after it.
-    With ``hashed`` the column holds the bits' numbers themselves.
+    their texts.  A set bit proves nothing: the exact join comes after it.  Where
+    the bitmap would be over MOST_BITS it is empty and every row passes.
     """
-    at = (F.col(column) if hashed else slot(column)) + 1
-    rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    out = bytearray(1 << (FILTER_BITS - 3))
-    for b, m in rows:
-        out[(b - 1) * 4096 : (b - 1) * 4096 + len(m)] = m
+    size = 1 << max(16, (BITS_EACH * nodes.count()).bit_length())
+    if size > MOST_BITS:
+        return b""
+    at = F.pmod(slot(column), F.lit(size)) + 1
+    rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
+    out = bytearray(size // 8)
+    for b, m in rows.collect():  # 4 KB each
+        out[(b - 1) * 4096 : (b - 1) * 4096 + len(m)] = m[: size // 8]
     return bytes(out)
 
 
 def slot(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    """What a membership filter is asked by."""
+    return F.xxhash64(column)
 
 
 def in_filter(bits: bytes, slots: np.ndarray) -> np.ndarray:
+    if not bits:
+        return np.ones(len(slots), bool)
+    at = slots.view(np.uint64) & np.uint64(8 * len(bits) - 1)
     table = np.frombuffer(bits, np.uint8)
-    return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def absent(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
