@@ -11,7 +11,8 @@ chance of 6 in 10,000, and one of 0.8 but for 1 in 100,000.
 
 Pairs are confirmed on the full sets.  They are not enumerated inside a bucket:
 
-1. Equal sets become one node, whatever their number.
+1. Equal sets become one node, named by a 64-bit hash of the set, whatever the
+   number and the ids of their rows.
 2. In every bucket the least node is the pivot; each node is first compared
    with the one pivot that it shares most buckets with.
 3. What is confirmed is merged into components.  Only pairs of a bucket that
@@ -32,14 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanloom.llm.common import in_filter, lean, membership_filter, runs, seeds, ship, slot, stage, unstage, utf8
+from spanloom.llm.common import in_filter, lean, membership_filter, mix64, runs, seeds, ship, spark_hash, stage, unstage, utf8
 from spanloom.llm.components import components
 from spanloom.llm.shingles import shingle_hashes, sorted_sets, word_hashes
 
 HASHES, CHUNKS, ERRORS, DISTANCE, WORDS = 40, 10, 1, 19, 5
-#: A bucket of so many nodes is compared by pairs, a larger one by blocks of about so many shingles.
-SMALL, BLOCK_SHINGLES = 16, 250_000
+#: A bucket of so many nodes is compared by pairs, a larger one by blocks of about so many rows and shingles.
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 16, 512, 250_000
 _A, _B = seeds(HASHES, 21) | np.uint64(1), seeds(HASHES, 22)
 
 
@@ -57,34 +59,39 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sets_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, shingles, their offsets, distinct ones in order, their offsets, hash of each set) for runs of texts."""
+    data, offsets = utf8(column)
+    for a, b in runs(offsets):
+        words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        shingles, begins = shingle_hashes(words, at, WORDS)
+        values, at = sorted_sets(shingles, begins)
+        sums = np.diff(at).astype(np.uint64)
+        full = np.flatnonzero(sums)
+        if len(full):
+            with np.errstate(over="ignore"):
+                for i in (0, 1):
+                    x = values * (_A[i] ^ _B[i + 2] | np.uint64(1))
+                    sums[full] = mix64(sums[full] + np.add.reduceat(x ^ (x >> np.uint64(29)), at[:-1][full]))
+        yield a, b, shingles, begins, values, at, sums.view(np.int64)
+
+
 @lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        for a, b in runs(offsets):
-            words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            shingles, at = shingle_hashes(words, at, WORDS)
-            sign = signatures(shingles, at)
-            values, at = sorted_sets(shingles, at)
-            n = np.diff(at)
-            sums = np.zeros((2, b - a), np.uint64)
-            full = np.flatnonzero(n)
-            if len(full):
-                with np.errstate(over="ignore"):
-                    for i in (0, 1):
-                        x = values * (_A[i] ^ _B[i + 2] | np.uint64(1))
-                        sums[i, full] = np.add.reduceat(x ^ (x >> np.uint64(29)), at[:-1][full])
+        for a, b, shingles, begins, _, at, node in _sets_of(batch.column(1)):
+            sign = signatures(shingles, begins)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in sign], pa.binary())],
-                names=["doc_id", "n_shingles", "set_1", "set_2", "signature"],
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(node), pa.array([x.tobytes() for x in sign], pa.binary())],
+                names=["doc_id", "n_shingles", "node", "signature"],
             )
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_1, set_2, signature) per row."""
+    """(doc_id, n_shingles, node, signature) per row."""
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _sign, "doc_id long, n_shingles long, set_1 long, set_2 long, signature binary"
+        _sign, "doc_id long, n_shingles long, node long, signature binary"
     )
 
 
@@ -103,15 +110,16 @@ def keys(nodes: DataFrame) -> DataFrame:
 
 @lean
 def _sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
+    """node, members of the sets that the filter passes, each once for a task."""
+    seen: set[int] = set()
     for batch in batches:
-        batch = batch.filter(pa.array(in_filter(bits, batch.column(2).to_numpy(zero_copy_only=False))))
-        data, offsets = utf8(batch.column(1))
-        for a, b in runs(offsets):
-            words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            values, at = sorted_sets(*shingle_hashes(words, at, WORDS))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([values[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "members"]
-            )
+        for _, _, _, _, values, at, node in _sets_of(batch.column(0)):
+            rows = []
+            for i in np.flatnonzero(in_filter(bits, spark_hash(node)) & (np.diff(at) > 0)).tolist():
+                if int(node[i]) not in seen:
+                    seen.add(int(node[i]))
+                    rows.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], names=["node", "members"])
 
 
 @lean
@@ -161,7 +169,7 @@ def _block(rows: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["members"].combine_chunks()]
     size = np.array([len(x) for x in sets], np.float32)
     both = shared_counts(sets)
-    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    linked = 175 * both >= 75 * (size[:, None] + size[None, :])  # 100 * shared >= 75 * all of them
     linked |= component[:, None] == component[None, :]
     label = component.copy()
     while True:
@@ -177,50 +185,66 @@ def _could(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= 75 * greatest({a}, {b})"
 
 
-def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that are linked with another.
+def link_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that share a bucket with another; a component is its least node.
 
-    ``nodes`` has node, n, signature; ``docs`` has node and text.
+    ``nodes`` has node, n, signature; ``texts`` has the texts that the nodes are the sets of.
     """
     every = keys(nodes)
     shared = every.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n")).where("c > 1").drop("c")
     kept = stage(every.join(shared, "key"), "buckets")
-    bits = membership_filter(kept, "node")
-    sets = docs.where("node is not null").select("node", "text", slot("node").alias("slot")).mapInArrow(partial(_sets, bits=bits), "node long, members binary")
+    wanted = stage(kept.select("node").distinct(), "wanted")
+    sets = texts.mapInArrow(partial(_sets, bits=membership_filter(wanted, "node")), "node long, members binary")
     sets = stage(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
-    could = kept.where("node <> pivot").where(_could("n", "pivot_n"))
-    first = could.groupBy(F.col("node").alias("v"), F.col("pivot").alias("u")).count()
+    first = kept.where("node <> pivot").where(_could("n", "pivot_n")).groupBy(F.col("node").alias("v"), F.col("pivot").alias("u")).count()
     first = first.groupBy("v").agg(F.max(F.struct("count", (-F.col("u")).alias("u"))).alias("x")).select((-F.col("x.u")).alias("u"), "v")
-    done = stage(confirm(first, sets), "confirmed")
-    found = components(done.where("linked").select("u", "v"))
-    labels = stage(kept.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+    done = stage(confirm(first, sets).where("linked").select("u", "v"), "confirmed")
+    labels = stage(wanted.join(components(done), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+    unstage(done, wanted)
     opened = _open(kept.select("key", "node", "n"), labels)
-    small = opened.where(f"members <= {SMALL}")
+    unstage(kept)
+    small = opened.where(f"size <= {SMALL}")
     other = small.select("key", F.col("node").alias("w"), F.col("n").alias("m"), F.col("component").alias("other"))
     pairs = small.join(other, "key").where("component < other").where(_could("n", "m")).select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
     linked = confirm(pairs, sets).where("linked").select("u", "v")
     for end in ("u", "v"):
         linked = linked.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end).drop(end).withColumnRenamed(f"{end}_in", end)
-    large = opened.where(f"members > {SMALL}").withColumn("blocks", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int"))
-    large = large.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "component").join(sets, "node")
-    blocks = large.select("key", "i", "j", "component", "members").groupBy("key", "i", "j").applyInArrow(_block, "u long, v long")
+    large = opened.where(f"size > {SMALL}").join(sets, "node")
+    over = lambda rows, shingles: F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+    i_of, j_of = over("open", "open_shingles"), over("size", "shingles")
+    salted = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), n).cast("int")
+    asked = large.where("component <> main").select("key", salted(i_of).alias("i"), F.explode(F.sequence(F.lit(0), j_of - 1)).alias("j"), "component", "members")
+    others = large.select("key", F.explode(F.sequence(F.lit(0), i_of - 1)).alias("i"), salted(j_of).alias("j"), "component", "members")
+    blocks = asked.unionByName(others).groupBy("key", "i", "j").applyInArrow(_block, "u long, v long")
     more = stage(linked.select("u", "v").unionByName(blocks).distinct(), "links")
     merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("into"))
-    labels = stage(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
-    unstage(kept, sets, opened)
-    return labels
+    out = stage(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+    unstage(sets, opened, labels, more)
+    return out
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component, with the component and the bucket's size."""
+    """The rows of buckets that hold more than one component, with the component, the largest component's name and the sizes."""
     placed = stage(rows.join(labels, "node"), "placed")
-    crossed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    out = stage(placed.join(crossed.where("low < high").select("key", "members", "shingles"), "key"), "open")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    main = F.max(F.struct("c", "component", "s"))
+    crossed = sizes.groupBy("key").agg(F.sum("c").alias("size"), F.sum("s").alias("shingles"), main.alias("x")).where("x.c < size")
+    crossed = crossed.select("key", "size", "shingles", F.col("x.component").alias("main"), (F.col("size") - F.col("x.c")).alias("open"), (F.col("shingles") - F.col("x.s")).alias("open_shingles"))
+    out = stage(placed.join(crossed, "key"), "open")
     unstage(placed)
     return out
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and (node, rows, low, component, component_id) of every set that isn't empty."""
+    signed = stage(sign(docs, id_col, text_col), "signatures")
+    groups = signed.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low"), F.count("*").alias("rows"))
+    groups = stage(groups, "groups")
+    labels = link_nodes(groups.select("node", "n", "signature"), docs.select(F.col(text_col).cast("string").alias("text")))
+    placed = groups.select("node", "low", "rows").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signed.drop("signature"), stage(placed, "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate classes of ``docs``.
 
@@ -229,19 +253,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least 0.75, kept says that it is the row's own.  Null and empty texts and
     texts without words have no shingles and stand alone; repeated rows fall
     into one class and each appears; rows that share a doc_id but not a text
-    are separate rows; a null doc_id is reached as the number of its set.  An
-    empty table gives no rows.  Columns other than the two named are not read.
+    are separate rows; a row with a null doc_id links like any other, but null
+    is no doc_id to be reached, so component_id is null only where no row of the
+    class has one.  An empty table gives no rows.  Columns other than the two
+    named are not read.
     """
-    signed = stage(sign(docs, id_col, text_col), "signatures")
-    where = ["set_1", "set_2", "n_shingles"]
-    groups = signed.where("n_shingles > 0").groupBy(*where).agg(F.coalesce(F.min("doc_id"), F.col("set_1")).alias("node"), F.first("signature").alias("signature"))
-    groups = stage(groups, "groups")
-    nodes = groups.groupBy("node").agg(F.first(F.col("n_shingles")).alias("n"), F.first("signature").alias("signature"))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    labels = link_nodes(nodes, texts)
-    named = groups.join(labels, "node", "left").select(*where, F.coalesce("component", "node").alias("found"))
+    signed, placed = _classes(docs, id_col, text_col)
+    ids = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = placed.join(ids, "component").select("node", "component_id", F.lit(True).alias("held"))
     return (
-        signed.join(named, where, "left")
-        .withColumn("component_id", F.coalesce("found", "doc_id"))
+        signed.join(named, "node", "left")
+        .withColumn("component_id", F.when(F.col("held"), F.col("component_id")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate class, as it is: that of the least doc_id, null ids last.
+
+    Of rows that share this id and the words, any one stays.  Rows without
+    words all stay, also where they are repeated.  Rows of classes of one row
+    are passed on where they are; the others' keepers are shuffled.
+    """
+    _, placed = _classes(docs, id_col, text_col)
+    # of a class: rows in all, and the least (no id, id, set)
+    order = F.struct(F.col("low").isNull().alias("no"), "low", "node")
+    classes = placed.groupBy("component").agg(F.sum("rows").alias("rows"), F.min(order).alias("x")).where("rows > 1")
+    crowded = stage(placed.select("node", "component").join(classes, "component").select(F.col("node").alias("__node"), F.col("x.node").alias("__of"), F.col("x.low").alias("__low")), "crowded")
+    bits = membership_filter(crowded, "__node")
+    marked = docs.mapInArrow(partial(_mark, bits=bits, text_at=docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    named = marked.where("__node is not null").join(crowded, "__node", "left")
+    own = (F.col("__node") == F.col("__of")) & F.col(id_col).cast("long").eqNullSafe(F.col("__low"))
+    keepers = named.where(F.col("__of").isNotNull() & own).dropDuplicates(["__node"])
+    return marked.where("__node is null").unionByName(named.where("__of is null").drop("__of", "__low")).unionByName(keepers.drop("__of", "__low")).select(*docs.columns)
+
+
+@lean
+def _mark(batches: Iterator[pa.RecordBatch], bits: bytes, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The rows with the hash of their set, or null where the set is empty or the filter lacks it."""
+    for batch in batches:
+        for a, b, _, _, _, at, node in _sets_of(batch.column(text_at)):
+            wanted = in_filter(bits, spark_hash(node)) & (np.diff(at) > 0)
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(node, mask=~wanted)], names=[*batch.schema.names, "__node"])

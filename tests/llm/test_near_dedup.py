@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from spanloom.llm.common import utf8
 from spanloom.llm.components import components
-from spanloom.llm.near_dedup import HASHES, near_duplicates, shared_counts, signatures
+from spanloom.llm.near_dedup import HASHES, keep_one, near_duplicates, shared_counts, signatures
 from spanloom.llm.shingles import shingle_hashes, sorted_sets, word_hashes
 
 
@@ -115,6 +115,46 @@ def test_classes_equal_brute_force(spark, docs):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_clashing_and_null_ids(docs):
+    rnd = random.Random(6)
+    base = [f"t{i}" for i in range(60)]
+    other = " ".join(f"u{i}" for i in range(60))
+    near = " ".join([*base[:30], "changed", *base[31:]])
+    d = docs(" ".join(base), near, other, near, other + " x", ids=[3, 7, 7, None, None], extra=True)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(d).collect()), key=str)
+    assert got == [(3, 3, True), (7, 3, False), (7, 7, True), (None, 3, False), (None, 7, False)]
+    # documents that are joined through a row without an id only
+    far = [*base[:14], "v", *base[15:44], "w", *base[45:]]
+    middle = [*base[:14], "v", *base[15:]]
+    chain = docs(" ".join([*base[:30], "z", *base[31:]]), " ".join(far), " ".join(base), " ".join(middle), ids=[5, 6, None, None])
+    rows = [(1000 + i if i is None else i, t) for i, t in ((5, " ".join([*base[:30], "z", *base[31:]])), (6, " ".join(far)), (8, " ".join(base)), (9, " ".join(middle)))]
+    assert {c for _, _, c in brute(rows)} == {5}
+    assert {r["component_id"] for r in near_duplicates(chain).collect()} == {5}
+    assert {(r["component_id"], r["kept"]) for r in near_duplicates(docs(near, near, ids=[None, None])).collect()} == {(None, False)}
+
+
+def test_one_row_of_each_class_stays(docs):
+    base = " ".join(f"t{i}" for i in range(60))
+    other = " ".join(f"u{i}" for i in range(60))
+    d = docs(base, base, base.upper(), base + " x", other, other, None, "", "", "alone", ids=[4, 4, 2, None, None, None, 1, 1, None, 4], extra=True)
+    kept = keep_one(d)
+    assert kept.schema == d.schema
+    got = sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in kept.collect()), key=str)
+    assert got == sorted([(2, "T0"), (None, "u0"), (1, ""), (1, ""), (None, ""), (4, "al")], key=str)
+    assert keep_one(d.where("false")).count() == 0
+
+
+def test_short_texts_of_one_template(docs, monkeypatch):
+    """A bucket of many rows with small sets: blocks are bounded by rows."""
+    import spanloom.llm.near_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 20)
+    rnd = random.Random(7)
+    texts = [f"dear {rnd.randrange(10**6)} your order has been sent today" for _ in range(90)] * 2
+    got = near_duplicates(docs(*texts)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(list(enumerate(texts)))
+
+
 def test_large_bucket_by_blocks(spark, docs, monkeypatch):
     import spanloom.llm.near_dedup as module
 
