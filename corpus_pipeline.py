@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import quality
-from spanloom.llm.common import absent, stage, table
+from spanloom.llm.common import stage, table
 from spanloom.llm.decontaminate import without_leaks
-from spanloom.llm.near_dedup import near_duplicates
+from spanloom.llm.near_dedup import keep_one
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.secrets import redact
 
@@ -28,7 +28,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the least doc_id."""
-    return absent(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
