@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,8 +16,32 @@ def test_features_stay_inside_their_text():
     texts = ["abc", "", "a b", "é x" * 50, "  spaced  out "]
     together = quality.features(texts)
     for t, got in zip(texts, together, strict=True):
-        assert sorted(got.tolist()) == sorted(quality.features([t])[0].tolist())
-    assert len(together[1]) == 0
+        assert [x.tolist() for x in got] == [x.tolist() for x in quality.features([t])[0]]
+    assert len(together[1][0]) == 0
+
+
+def test_features_are_words_pairs_and_grams():
+    text = "the cat  sat\non the mat mat mat"
+    words = text.split()
+    plain = Counter(words) + Counter("same" if a == b else (a, b) for a, b in zip(words[:-1], words[1:], strict=True))
+    for n in quality.GRAMS:
+        for w in words:
+            w = f" {w} "
+            plain += Counter(f"#{w[i : i + n]}" for i in range(len(w) - n + 1))
+    ids, counts = quality.features([text])[0]
+    assert sorted(counts.tolist()) == sorted(plain.values())
+
+
+def test_long_texts_are_taken_in_pieces(docs, monkeypatch):
+    model = quality.Model(np.random.default_rng(2).normal(size=quality.BUCKETS).astype(np.float32), 0.0)
+    text = "lorem ipsum dolor sit amet " * 4000
+    whole, one = quality.features([text])[0], model.score([text, "x"])
+    monkeypatch.setattr(quality, "PIECE", 1000)
+    ids, counts = quality.features([text])[0]
+    assert set(ids) == set(whole[0]) and abs(int(counts.sum()) - int(whole[1].sum())) <= len(text) // 900
+    assert np.allclose(model.score([text, "x"]), one, atol=1e-3)
+    assert sum(len(p) for _, held in quality.pieces(["y" * 5000]) for p in held) == 5000
+    assert quality.score(docs("z" * 3_000_000, text), model).count() == 2
 
 
 def test_scores_do_not_depend_on_the_batch():
@@ -28,7 +53,7 @@ def test_scores_do_not_depend_on_the_batch():
 
 def test_fit_without_both_labels():
     assert quality.fit([], np.array([])).score(["x"])[0] == pytest.approx(0.5)
-    assert quality.fit(["a", "b"], np.array([1, 1])).score(["x"])[0] > 0.5
+    assert quality.fit(quality.bags(["a", "b"]), np.array([1, 1])).score(["x"])[0] > 0.5
 
 
 def test_held_out_accuracy(spark):
@@ -43,7 +68,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_labels_with_nulls_and_repeats(spark, docs):
-    d = docs("good words here", "BAD!! BAD!!", None, "", "good words there")
+    d = docs("good words here", "BAD!! BAD!!", None, "", "good words there", extra=True)
     marks = spark.createDataFrame([(0, 1), (0, 1), (0, 0), (1, 0), (None, 1), (2, None), (99, 1)], "doc_id long, label int")
     got = quality.score(d, quality.train(d, marks)).collect()
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
