@@ -4,8 +4,8 @@ Strong parts are reported wherever they stand: an assignment to a password,
 secret, token or key, an access key identifier, and a long hexadecimal run.
 Weak parts say little alone: an identifier such as a client id or user name, a
 bare high-entropy string, an endpoint.  They are reported only when the parts
-that complete them stand in the same scope (a paragraph) within REACH code
-points: a string next to an identifier, an identifier next to a secret, an
+that complete them stand in the same scope (a paragraph), within a reach of so
+many code points if one is given: a string next to an identifier, an identifier next to a secret, an
 endpoint next to both.
 
 Everything is DataFrame functions.  A regular expression's places come from the
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-REACH = 256
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -45,7 +44,7 @@ def _parts(kind: int) -> Column:
     if KINDS[kind] in ("assign", "pair_id"):
         valued = F.transform(F.regexp_extract_all("text", pattern, F.lit(2)), lambda x: F.length(x) >= (6 if KINDS[kind] == "assign" else 3))
     elif KINDS[kind] == "pair_secret":
-        valued = F.transform(found, lambda x: (F.length(x) <= 128) & x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]"))
+        valued = F.transform(found, lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]"))
     else:
         valued = F.transform(found, lambda _: F.lit(True))
     gaps = F.transform(F.split("text", PATTERNS[kind], -1), lambda x: F.length(x))
@@ -63,12 +62,13 @@ def has_parts(text: Column) -> Column:
     return out
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, spans.
 
     spans is an array of (start, kind, end, name) in order of start and kind,
     in code points, end exclusive; kinds under 3 are the strong ones.  text_key
-    is a hash of the text, to join spans back by (doc_id, text_key).  A null
+    is a hash of the text, to join spans back by (doc_id, text_key).  Parts
+    complete each other anywhere in a paragraph, or within ``reach``.  A null
     text counts as empty and has no spans; repeated rows each appear; an empty
     table gives no rows; columns other than the two named are not read.
     """
@@ -76,7 +76,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marker = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("fit")))
     key = ["doc_id", "text_key"]
     parts = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.concat(marker, *(_parts(k) for k in range(len(KINDS))))).alias("p")).select(*key, "p.*")
-    parts = parts.repartition(*key).groupBy(*key, "kind", "at").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("fit").alias("fit"), F.count("*").alias("copies"))
+    # a partial aggregate first: repeated rows shrink before they meet
+    parts = parts.groupBy(*key, "kind", "at").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("fit").alias("fit"), F.count("*").alias("copies"))
     so_far = W.partitionBy(*key, "kind").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     parts = parts.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size")).where("fit or kind = -1")
     order = W.partitionBy(*key).orderBy("start", "kind")
@@ -89,6 +90,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     identifier, secret = F.col("kind").isin(1, 4) & ~own, F.col("kind").isin(0, 2, 3) & ~own
 
     def near(is_part: Column) -> Column:
+        if reach is None:
+            return F.coalesce(F.max(is_part).over(W.partitionBy(*key, "scope")), F.lit(False))
         behind = F.max(F.when(is_part, F.col("end"))).over(back)
         beyond = F.min(F.when(is_part, F.col("start"))).over(ahead)
         return F.coalesce(F.col("start") - behind <= reach, F.lit(False)) | F.coalesce(beyond - F.col("end") <= reach, F.lit(False))
@@ -146,16 +149,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.where(~could).unionByName(changed.select(*columns))
 
 
-def oracle_sql(reach: int = REACH) -> str:
+def oracle_sql(reach: int | None = None) -> str:
     """DuckDB: the same places, and an interval join of parts by inequality."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     scans = []
     for k, p in enumerate(PATTERNS):
         fit = {0: f"regexp_extract_all(text, {quote(p)}, 2)", 4: f"regexp_extract_all(text, {quote(p)}, 2)"}.get(k, f"regexp_extract_all(text, {quote(p)})")
-        test = {0: "length(v) >= 6", 3: "length(v) <= 128 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')", 4: "length(v) >= 3"}.get(k, "true")
+        test = {0: "length(v) >= 6", 3: "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')", 4: "length(v) >= 3"}.get(k, "true")
         scans.append(f"SELECT n, {k} AS kind, i, gap, size, {test} AS fit FROM (SELECT n, unnest(range(len(m))) AS i, unnest(list_transform(m, lambda x: length(x))) AS size, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, unnest(vs) AS v FROM (SELECT n, regexp_extract_all(text, {quote(p)}) AS m, string_split_regex(text, {quote(p)}) AS g, {fit} AS vs FROM d))")
     names = "[" + ", ".join(map(quote, KINDS)) + "]"
-    near = lambda what: f"EXISTS (SELECT 1 FROM q o WHERE o.n = q.n AND o.scope = q.scope AND o.kind IN ({what}) AND NOT o.own AND ((o.start, o.kind) <= (q.start, q.kind) AND q.start - o.stop <= {reach} OR (o.start, o.kind) >= (q.start, q.kind) AND o.start - q.stop <= {reach}))"
+    near = lambda what: f"EXISTS (SELECT 1 FROM q o WHERE o.n = q.n AND o.scope = q.scope AND o.kind IN ({what}) AND NOT o.own)" if reach is None else f"EXISTS (SELECT 1 FROM q o WHERE o.n = q.n AND o.scope = q.scope AND o.kind IN ({what}) AND NOT o.own AND ((o.start, o.kind) <= (q.start, q.kind) AND q.start - o.stop <= {reach} OR (o.start, o.kind) >= (q.start, q.kind) AND o.start - q.stop <= {reach}))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
 p AS ({' UNION ALL '.join(scans)}),

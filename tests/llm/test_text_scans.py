@@ -48,7 +48,10 @@ def test_weak_parts_need_complements(spark, docs):
     got = digest(docs(*texts))
     kinds = [sorted(s.split(":")[0] for s in got[i]["spans"].split(",") if s) for i in range(len(texts))]
     assert kinds[0] == ["access", "pair_secret"]
-    assert kinds[1] == [] and kinds[2] == ["access"] and kinds[3] == ["access"]
+    assert kinds[1] == [] and kinds[2] == ["access"] and kinds[3] == ["access", "pair_secret"]
+    found = secrets.find_secrets(docs(texts[3], f"{access} key {key * 4}"), reach=256)
+    near = {r["doc_id"]: r for r in secrets.digest(found).collect()}
+    assert [near[i]["spans"].count("pair_secret") for i in (0, 1)] == [0, 1]  # a long string counts as well
     assert kinds[4] == ["pair_endpoint", "pair_id", "pair_secret"] and kinds[5] == []
     assert kinds[6] == ["assign"]
 
