@@ -10,8 +10,11 @@ keeps its rarest ones only, as many as leave SPARE shared ones after e edits;
 the lemma's bound is lowered by those left out, and stays exact.
 
 Bands that meet the bound are verified by a banded alignment of the whole item.
-The items' grams go to the executors in blocks of a fixed size, one pass over
-the texts for each block, so nothing that is sent grows with the benchmark.
+Short items say little, so edits would match anything: those under EXACT bytes
+count where they stand unedited, as whole words.  Items go to the executors in
+blocks of a fixed size, BLOCKS of them with each pass over the texts; tasks
+index them, one pass normalises a text once, and the number of passes grows with
+the benchmark's bytes.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import BLOCK_BYTES, lean, runs, ship, utf8
 
 Q, RATE, SPARE = 8, 0.08, 12
-#: Items with fewer bytes after normalisation say too little to be traced.
-LEAST = 32
-#: A block's items have about so many bytes; their grams take 16 bytes each.
-BLOCK_CHARS = 1_000_000
+#: Items with fewer bytes after normalisation are sought without edits.
+EXACT = 32
+#: A block's items have about so many bytes, and their index 16 times as many; so many blocks go with one pass.
+BLOCK_CHARS, BLOCKS = 1_000_000, 4
 _BITS = 21
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[:128] = 32
@@ -80,17 +83,18 @@ class Index:
         for i, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             body = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" \0")
-            if len(body) >= LEAST:
+            if body:
                 self.ids.append(i)
                 self.items.append(body)
+        self.tiny = [k for k, b in enumerate(self.items) if len(b) < Q]
         every = [grams(np.frombuffer(b, np.uint8)) for b in self.items]
         values, inverse, common = np.unique(np.concatenate(every), return_inverse=True, return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
         at, gram, item, place = 0, [], [], []
         self.edits, self.bound = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
         for k, g in enumerate(every):
             m = len(self.items[k])
-            e = min(int(RATE * m), (m - Q) // Q)
-            kept = min(len(g), Q * e + max(SPARE, len(g) // 4))
+            e = min(int(RATE * m), (m - Q) // Q) if m >= EXACT else 0
+            kept = len(g) if m < EXACT else min(len(g), Q * e + max(SPARE, len(g) // 4))
             rare = np.sort(np.argsort(common[inverse[at : at + len(g)]], kind="stable")[:kept])
             at += len(g)
             self.edits[k], self.bound[k] = e, max(1, kept - Q * e)
@@ -134,10 +138,43 @@ def align(item: bytes, text: bytes, low: int, width: int, limit: int) -> tuple[i
     return int(row[k]), low + len(item) + k
 
 
-def _matches(data: np.ndarray, offsets: np.ndarray, index: Index, table: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first byte, end byte, edits) of the verified regions, bytes of the text as given."""
+def _words_at(text: bytes, item: bytes, low: int, high: int) -> int:
+    """Where the item stands between low and high as whole words, or -1."""
+    while (low := text.find(item, low, high)) >= 0:
+        if text[low - 1 : low] in (b"", b" ") and text[low + len(item) : low + len(item) + 1] in (b"", b" "):
+            return low
+        low += 1
+    return -1
+
+
+Normal = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def normal(data: np.ndarray, offsets: np.ndarray) -> Normal:
     body, where, at = normalise(data, offsets)
-    g = grams(body)
+    return body, where, at, grams(body)
+
+
+def _matches(offsets: np.ndarray, index: Index, table: np.ndarray, texts: Normal) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, first byte, end byte, edits) of the verified regions, bytes of the text as given."""
+    body, where, at, g = texts
+    whole, out, seen = body.tobytes(), [], set()
+
+    def add(t: int, i: int, a: int, b: int, edits: int) -> None:
+        if (t, i, b) not in seen:
+            seen.add((t, i, b))
+            begin = int(at[t])
+            out.append((t, i, int(where[begin + a] - offsets[t]), int(where[begin + b - 1] - offsets[t]) + 1, edits))
+
+    for i in index.tiny:
+        item, low = index.items[i], 0
+        while (low := whole.find(item, low)) >= 0:
+            t = int(np.searchsorted(at, low, side="right")) - 1
+            begin, end = int(at[t]), int(at[t + 1]) - 1
+            a = _words_at(whole[begin:end], item, low - begin, low - begin + len(item))
+            if a >= 0:
+                add(t, i, a, a + len(item), 0)
+            low += 1
     hit = np.flatnonzero(table[_slot(g)])
     row = np.searchsorted(index.gram, g[hit])
     row[row == len(index.gram)] = 0
@@ -145,7 +182,7 @@ def _matches(data: np.ndarray, offsets: np.ndarray, index: Index, table: np.ndar
     hit, row = hit[exact], row[exact]
     count = index.count[row]
     if not len(hit):
-        return []
+        return out
     entry = np.repeat(index.first[row] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     item, place = index.item[entry].astype(np.int64), index.place[entry]
     start = np.repeat(hit, count) - place
@@ -157,8 +194,6 @@ def _matches(data: np.ndarray, offsets: np.ndarray, index: Index, table: np.ndar
     both = found.copy()
     both[:-1] += np.where(key[1:] == key[:-1] + 1, found[1:], 0)
     good = key[both >= index.bound[key // base]]
-    out, seen = [], set()
-    whole = body.tobytes()
     for k in good.tolist():
         i, c = divmod(k, base)
         e = int(index.edits[i])
@@ -169,44 +204,60 @@ def _matches(data: np.ndarray, offsets: np.ndarray, index: Index, table: np.ndar
             if low + wide + len(index.items[i]) < begin or low > end:
                 continue
             segment = whole[begin:end]
-            a = segment.find(index.items[i], max(0, low - begin), max(0, low - begin) + wide + len(index.items[i]))
+            find = _words_at if len(index.items[i]) < EXACT else bytes.find
+            a = find(segment, index.items[i], max(0, low - begin), max(0, low - begin) + wide + len(index.items[i]))
             if a >= 0:
                 edits, b = 0, a + len(index.items[i])
+            elif len(index.items[i]) < EXACT:
+                continue
             else:
                 edits, b = align(index.items[i], segment, low - begin, wide, e)
                 if edits > e:
                     continue
                 back, a = align(index.items[i][::-1], segment[::-1], len(segment) - b, 1, edits)
                 a = len(segment) - a if back <= edits else max(0, b - len(index.items[i]))
-            if (t, i, b) not in seen:
-                seen.add((t, i, b))
-                first = int(where[begin + a] - offsets[t])
-                out.append((t, i, first, int(where[begin + b - 1] - offsets[t]) + 1, edits))
+            add(t, i, a, b, edits)
     return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    items, size = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
+Items = list[tuple[int, str]]
+
+
+def _passes(benchmark: DataFrame) -> Iterator[list[Items]]:
+    """The blocks of items for one pass after another; the driver holds those of one pass, and plans hold all."""
+    blocks, items, size = [], [], 0
+    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         items.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
+        size += len(r["text"])
         if size >= BLOCK_CHARS:
-            yield Index(items)
+            blocks.append(items)
             items, size = [], 0
+            if len(blocks) == BLOCKS:
+                yield blocks
+                blocks = []
     if items:
-        yield Index(items)
+        blocks.append(items)
+    if blocks:
+        yield blocks
+
+
+def _indexed(blocks: list[Items]) -> list[tuple[Index, np.ndarray]]:
+    return [(x, x.table()) for x in map(Index, blocks)]
 
 
 @lean
-def _report(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    table = index.table()
+def _report(batches: Iterator[pa.RecordBatch], blocks: list[Items]) -> Iterator[pa.RecordBatch]:
+    indexes = _indexed(blocks)
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         for a, b in runs(offsets, BLOCK_BYTES):
             part = data[offsets[a] : offsets[b]]
             inner = offsets[a : b + 1] - offsets[a]
-            rows = _matches(part, inner, index, table)
-            if rows:
+            texts = normal(part, inner)
+            for index, table in indexes:
+                rows = _matches(inner, index, table, texts)
+                if not rows:
+                    continue
                 point = lambda t, x: int(((part[inner[t] : inner[t] + x] & 0xC0) != 0x80).sum())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -225,9 +276,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, start, end, edits, item_length: where texts hold benchmark items.
 
     start and end are code points of the text, end exclusive.  An item counts
-    as held where at most 8 % of its normalised bytes are edited.  Null and
-    empty texts hold nothing; items under 32 bytes and null ones are not
-    traced; a text that holds an item twice, and a row that is repeated, has a
+    as held where at most 8 % of its normalised bytes are edited, or none where
+    it has less than 32.  Null and empty texts hold nothing, and null items and
+    such without a letter or digit are not held; a text that holds an item twice, and a row that is repeated, has a
     row for each; empty tables give no rows.  Of ``benchmark`` only item_id and
     text are read, of ``docs`` the two columns named.
     """
@@ -235,26 +286,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start long, end long, edits int, item_length int"
     out = None
-    for index in _blocks(benchmark):
-        part = rows.mapInArrow(partial(_report, index=index), schema)
+    for blocks in _passes(benchmark):
+        part = rows.mapInArrow(partial(_report, blocks=blocks), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 @lean
-def _clean(batches: Iterator[pa.RecordBatch], index: Index, text_at: int) -> Iterator[pa.RecordBatch]:
-    table = index.table()
+def _clean(batches: Iterator[pa.RecordBatch], blocks: list[Items], text_at: int) -> Iterator[pa.RecordBatch]:
+    indexes = _indexed(blocks)
     for batch in batches:
         data, offsets = utf8(batch.column(text_at))
         keep = np.ones(batch.num_rows, bool)
         for a, b in runs(offsets, BLOCK_BYTES):
-            keep[[a + r[0] for r in _matches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], index, table)]] = False
+            inner = offsets[a : b + 1] - offsets[a]
+            texts = normal(data[offsets[a] : offsets[b]], inner)
+            for index, table in indexes:
+                keep[[a + r[0] for r in _matches(inner, index, table, texts)]] = False
         yield batch.filter(pa.array(keep))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, whole and in place: nothing is shuffled."""
+    """The rows of ``docs`` that hold no benchmark item, whole and in place: nothing is shuffled.
+
+    Items are held as in ``find_leaks``.  Null and empty texts stay; repeated
+    rows have one fate; without items all rows stay; empty tables give no rows.
+    """
     ship(docs.sparkSession)
-    for index in _blocks(benchmark):
-        docs = docs.mapInArrow(partial(_clean, index=index, text_at=docs.columns.index(text_col)), docs.schema)
+    for blocks in _passes(benchmark):
+        docs = docs.mapInArrow(partial(_clean, blocks=blocks, text_at=docs.columns.index(text_col)), docs.schema)
     return docs
