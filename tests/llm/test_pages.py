@@ -1,5 +1,8 @@
 import base64
 import hashlib
+import html
+import re
+import time
 
 import pytest
 
@@ -30,6 +33,38 @@ def test_unmarked_page_by_density():
     assert got.split("\n") == [(long * 3).strip(), (long * 2).strip()]
 
 
+def test_the_ratio_decides_on_the_given_pages(spark):
+    """Menus are told by their text-to-tag ratio alone; without it they are content on every page that has one."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        with_ratio, without = main_text(r["html"]), main_text(r["html"], ratio=False)
+        links = [" ".join(html.unescape(x).split()) for x in re.findall(r"<li><a href=[^>]*>([^<]*)</a></li>", r["html"].split("<article")[0])]
+        assert (with_ratio != without) == bool(links)
+        assert without.split("\n")[: len(links)] == links and not (links and with_ratio.startswith("\n".join(links[:4]) + "\n"))
+
+
+def test_articles_equal_a_plain_reading(spark):
+    """The given pages mark their article: its text, read by regular expressions."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        body = re.sub(r"<(?:script|style)\b.*?</(?:script|style)>|<form\b.*?</form>|<!--.*?-->", "", body, flags=re.S)
+        blocks = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|section|blockquote|table|tr|td|pre)\b[^>]*>", body)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]+>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in blocks]
+        assert main_text(r["html"]) == "\n".join(x for x in plain if x)
+
+
+@pytest.mark.parametrize("page", ["<div>{}x", "<b><div><i>{}</b>", "<ul><li><div>{}x", "<p><b>{}x", "<table><tr><td>{}x"])
+def test_deep_pages_take_linear_time(page):
+    def took(n):
+        head, tail = page.split("{}")
+        began = time.perf_counter()
+        main_text(head * n + tail * n)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 12 * max(took(4_000), 0.01)
+
+
 def test_nothing_is_cut_from_long_pages():
     text = "word " * 200_000
     assert main_text(f"<article><p>{text}</p></article>") == text.strip()
