@@ -21,8 +21,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import suppress
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from functools import wraps
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to the byte kernels in runs of about so many bytes.
 BLOCK_BYTES = 2 << 20
+_MADE: ContextVar[list[str] | None] = ContextVar("stage tables", default=None)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -71,17 +73,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the stage tables that are made inside, for ``remove``."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in paths:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Remove stage tables that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def ship(spark: SparkSession) -> None:

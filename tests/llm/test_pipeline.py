@@ -1,3 +1,4 @@
+import os
 import re
 
 import corpus_pipeline
@@ -72,11 +73,38 @@ def test_every_document_is_packed(results):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(texts(given))
 
 
-def test_odd_documents_pass_every_stage(spark, docs):
-    d = docs(None, "", "x", "x", None, "word " * 20_000, ids=[1, 2, 3, 3, None, 5])
+def test_odd_documents_pass_every_stage(docs):
+    long = "word other " * 20_000
+    d = docs(None, "", "x", "x", None, long, long, "password=hunter2222 x", ids=[1, 2, 3, 3, None, 5, 6, 7], extra=True)
+    columns = d.schema
     for name, step in corpus_pipeline.STAGES[1:]:
-        d = stage(step(spark, d, "/root/testdata/sf0.001"), "odd")
-    assert d.count() >= 4
+        d = stage(step(d.sparkSession, d, "/root/testdata/sf0.001"), "odd")
+        if name != "best-fit packing":
+            assert d.schema.names == columns.names
+    assert sorted({str(r["doc_id"]) for r in d.collect()}) == ["1", "2", "3", "5", "7", "None"]
+
+
+def test_odd_documents_pass_the_quality_stage(spark, docs):
+    d = docs(None, "", "x", "x", None, "word " * 300_000, ids=[1, 2, 3, 3, None, 5], extra=True)
+    kept = corpus_pipeline.quality_filter(spark, d.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), allowMissingColumns=True), "/root/testdata/sf0.001")
+    assert kept.columns == d.columns and kept.count() > 100
+
+
+def test_empty_tables_pass_every_stage(spark, docs):
+    d = docs("x", extra=True).where("false")
+    for _, step in corpus_pipeline.STAGES:
+        d = stage(step(spark, d, "/root/testdata/sf0.001"), "empty")
+        assert d.count() == 0
+
+
+def test_run_leaves_one_table(spark):
+    from spanloom.llm.common import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 100 and len(set(os.listdir(root)) - before) == 1
 
 
 def test_filters_keep_the_rest(docs):
