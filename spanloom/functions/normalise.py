@@ -70,17 +70,22 @@ NAME_SUBSTRINGS_DIAGNOSE = {
     "societe": "soc",
     "etablissement": "etb",
 }
-LEGAL_V1 = "inc corp co ltd pvt llc llp limited company corporation incorporated private plc gmbh sarl sas sa soc etb".split()
-GENERIC_V1 = (
-    "services service solutions solution technologies technology enterprises enterprise consulting consultants management "
-    "holdings holding group international global industries industry associates foundation ventures venture commercial "
-    "commercials trading products systems"
-).split()
-LEGAL_V2 = "corp co inc ltd pvt pub llc llp plc sa sarl gmbh ag limited company corporation".split()
-ADDRESS_STOP = (
-    "road rd street st lane ln avenue ave boulevard blvd highway hwy sector sec block district dist city town village near "
-    "opposite opp india usa us france"
-).split()
+LEGAL_V1 = [
+    "inc", "corp", "co", "ltd", "pvt", "llc", "llp", "limited", "company", "corporation", "incorporated", "private", "plc", "gmbh", "sarl",
+    "sas", "sa", "soc", "etb",
+]
+GENERIC_V1 = [
+    "services", "service", "solutions", "solution", "technologies", "technology", "enterprises", "enterprise", "consulting", "consultants",
+    "management", "holdings", "holding", "group", "international", "global", "industries", "industry", "associates", "foundation",
+    "ventures", "venture", "commercial", "commercials", "trading", "products", "systems",
+]
+LEGAL_V2 = [
+    "corp", "co", "inc", "ltd", "pvt", "pub", "llc", "llp", "plc", "sa", "sarl", "gmbh", "ag", "limited", "company", "corporation",
+]
+ADDRESS_STOP = [
+    "road", "rd", "street", "st", "lane", "ln", "avenue", "ave", "boulevard", "blvd", "highway", "hwy", "sector", "sec", "block",
+    "district", "dist", "city", "town", "village", "near", "opposite", "opp", "india", "usa", "us", "france",
+]
 ADDRESS_MAP_V1 = {
     "road": "rd",
     "street": "st",
@@ -116,6 +121,11 @@ ADDRESS_MAP_ANALYSIS = {
     "apartment": "apt",
     "suite": "ste",
 }
+COUNTRY_DISPLAY = {
+    "INDIA": "India",
+    "US": "US",
+    "FRANCE": "France",
+}
 # End of fixed values.
 
 _MARKS = r"[\p{P}\p{S}&&[\x{0}-\x{FFFF}]]"
@@ -184,5 +194,21 @@ def normalise(x: Column, profile: str = "v2", unicode: bool = True) -> Column:
     raise ValueError(f"no profile named {profile!r}")
 
 
+def analysis_name(x: Column) -> Column:
+    """The name as the analysis of blocking signals has it."""
+    return F.array_join(replace_tokens(tokens(normalise(x, "analysis")), NAME_MAP_ANALYSIS), " ")
+
+
+def analysis_address(x: Column) -> Column:
+    return F.array_join(replace_tokens(tokens(normalise(x, "analysis")), ADDRESS_MAP_ANALYSIS), " ")
+
+
+def display_country(x: Column) -> Column:
+    """A country's name as it is shown; unknown ones as they are, trimmed."""
+    trimmed = F.trim(F.coalesce(x, F.lit("")))
+    shown = F.create_map(*(F.lit(v) for kv in COUNTRY_DISPLAY.items() for v in kv))
+    return F.coalesce(F.try_element_at(shown, F.upper(trimmed)), trimmed)
+
+
 def country(x: Column) -> Column:
     return F.upper(F.trim(F.coalesce(x, F.lit(""))))

@@ -31,6 +31,22 @@ def pair_frequency(pairs: DataFrame, s1: DataFrame, rec: DataFrame, rule: B.Rule
     return pairs.join(left.select(S, "key"), S).join(right.select(C, F.col("key").alias("other")), C).where("key = other").join(freq, "key").select(S, C, "frequency")
 
 
+def cap_sweep_metrics(s1: DataFrame, rec: DataFrame, truth: DataFrame, base: DataFrame, rule: B.Rule, caps: list[int | None]) -> DataFrame:
+    """What a rule adds to the pairs of ``base`` at each cap: added, total, found, recall, precision, mean and 99th percentile of candidates per S1 record."""
+    marked = truth.withColumn("is_true", F.lit(1))
+    old = base.join(marked, [S, C], "left").groupBy(S).agg(F.count("*").alias("n0"), F.sum(F.coalesce("is_true", F.lit(0))).alias("t0"))
+    raw = B.keyed(s1, [rule], S).join(B.keyed(rec, [rule], C), ["rule_idx", "key"]).select(S, C, "key").join(B.key_frequency(rec, [rule]).select("key", "frequency"), "key")
+    limits = F.explode(F.array(*(F.lit(c).cast("int") for c in caps))).alias("cap")
+    new = raw.join(base, [S, C], "left_anti").join(marked, [S, C], "left").select(S, "frequency", F.coalesce("is_true", F.lit(0)).alias("hit"), limits).where("cap is null or frequency <= cap")
+    new = new.groupBy(S, F.coalesce("cap", F.lit(-1)).alias("at")).agg(F.count("*").alias("n1"), F.sum("hit").alias("t1"))
+    grid = s1.select(F.col("entity_id").alias(S), limits).withColumn("at", F.coalesce("cap", F.lit(-1)))
+    each = grid.join(old, S, "left").join(new, [S, "at"], "left").fillna(0, ["n0", "t0", "n1", "t1"]).withColumn("n", F.col("n0") + F.col("n1"))
+    x = each.groupBy("at").agg(F.max("cap").alias("cap"), F.sum("n1").alias("added"), F.sum("n").alias("total"), F.sum(F.col("t0") + F.col("t1")).alias("found"), F.count("*").alias("s1_records"), F.percentile("n", F.lit(0.99)).alias("p99"))
+    x = x.crossJoin(truth.agg(F.count("*").alias("true_pairs")))  # one row
+    ratio = lambda a, b: F.when(F.col(b) == 0, F.lit(0.0)).otherwise(F.col(a) / F.col(b))
+    return x.select(F.col("cap").cast("long").alias("cap"), "added", "total", "found", ratio("found", "true_pairs").alias("recall"), ratio("found", "total").alias("precision"), ratio("total", "s1_records").alias("mean_candidates"), "p99")
+
+
 def cap_sweep(s1: DataFrame, rec: DataFrame, truth: DataFrame, rule: B.Rule, caps: list[int | None]) -> DataFrame:
     """(cap, pairs, true_pairs) of a rule for each cap, in one pass; a null cap is none."""
     raw = B.keyed(s1, [rule], S).join(B.keyed(rec, [rule], C), ["rule_idx", "key"]).select(S, C, "key")

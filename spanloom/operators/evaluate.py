@@ -92,9 +92,12 @@ def entity_sweep(s1: DataFrame, scored: DataFrame, truth: DataFrame, thresholds:
     x = x.withColumn("f", F.when(both, 1.0).otherwise(f_half(F.col("p"), F.col("r"))))
     exact = (F.col("tp") == F.col("predicted")) & (F.col("tp") == F.col("actual"))
     y = x.groupBy("threshold").agg(
-        F.avg("p").alias("macro_precision"),
-        F.avg("r").alias("macro_recall"),
-        F.avg("f").alias("macro_f_half"),
+        # the order of summation must not show
+        F.round(F.avg("p"), 9).alias("macro_precision"),
+        F.round(F.avg("r"), 9).alias("macro_recall"),
+        F.round(F.avg("f"), 9).alias("macro_f_half"),
+        F.round(F.avg("predicted"), 9).alias("mean_predicted"),
+        F.round(F.avg("actual"), 9).alias("mean_true"),
         F.sum("tp").alias("tp"),
         F.sum("predicted").alias("predicted"),
         F.sum("actual").alias("actual"),

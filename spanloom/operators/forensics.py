@@ -106,6 +106,25 @@ def rule_flags() -> dict[str, Column]:
     return {**{n: (inside & X.same(k)) for n, k in one.items()}, **{n: (inside & all_of(*ks)) for n, ks in two.items()}}
 
 
+def rule_counts(s1: DataFrame, rec: DataFrame, plan: list[B.Rule]) -> DataFrame:
+    """(S, r1 ..., total): how many records each rule gives every S1 record."""
+    got = B.keyed(s1, plan, S).join(B.key_frequency(rec, plan), ["rule_idx", "key"])
+    each = [F.sum(F.when(F.col("rule_idx") == i, F.col("frequency"))).alias(f"r{i + 1}") for i in range(len(plan))]
+    out = s1.select(F.col("entity_id").alias(S)).join(got.groupBy(S).agg(*each, F.sum("frequency").alias("total")), S, "left")
+    return out.fillna(0)
+
+
+def two_frequency_recovery(missed: DataFrame, s1: DataFrame, rec: DataFrame, one: B.Rule, two: B.Rule, caps: list[int]) -> DataFrame:
+    """(cap, one, two, either): missed pairs whose S1 keys have a frequency of at most the cap, by each of two rules and by any."""
+    out = missed
+    for name, r in (("f1", one), ("f2", two)):
+        freq = B.keyed(s1, [r], S).join(B.key_frequency(rec, [r]), ["rule_idx", "key"]).select(S, F.col("frequency").alias(name))
+        out = out.join(freq, S, "left")
+    fits = lambda name: F.coalesce(F.col(name) <= F.col("cap"), F.lit(False))
+    x = out.withColumn("cap", F.explode(F.array(*(F.lit(c).cast("long") for c in caps))))
+    return x.groupBy("cap").agg(count_if(fits("f1"), "one"), count_if(fits("f2"), "two"), count_if(fits("f1") | fits("f2"), "either"))
+
+
 def zero_candidates(s1: DataFrame, rec: DataFrame, plan: list[B.Rule]) -> DataFrame:
     """S1 records that no rule gives a candidate, with whether their country has records at all."""
     has = B.keyed(s1, plan, S).join(B.keyed(rec, plan, C).select("rule_idx", "key").distinct(), ["rule_idx", "key"], "left_semi").select(S).distinct()

@@ -182,7 +182,7 @@ got AS (SELECT threshold, scored.s, count(*) AS predicted, count(truth.s) AS tp
 e AS (SELECT t.threshold, act.s, actual, coalesce(predicted, 0) AS predicted, coalesce(tp, 0) AS tp FROM act CROSS JOIN t LEFT JOIN got ON got.s = act.s AND got.threshold = t.threshold),
 e2 AS (SELECT *, CASE WHEN predicted = 0 AND actual = 0 THEN 1.0::DOUBLE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS p, CASE WHEN predicted = 0 AND actual = 0 THEN 1.0::DOUBLE WHEN actual = 0 THEN 0.0 ELSE tp / actual END AS r FROM e),
 e3 AS (SELECT *, CASE WHEN predicted = 0 AND actual = 0 THEN 1.0 ELSE {_F05.format(p="p", r="r")} END AS f FROM e2),
-m AS (SELECT threshold, avg(p) AS macro_precision, avg(r) AS macro_recall, avg(f) AS macro_f_half, sum(tp)::BIGINT AS tp, sum(predicted)::BIGINT AS predicted, sum(actual)::BIGINT AS actual,
+m AS (SELECT threshold, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(f), 9) AS macro_f_half, round(avg(predicted), 9) AS mean_predicted, round(avg(actual), 9) AS mean_true, sum(tp)::BIGINT AS tp, sum(predicted)::BIGINT AS predicted, sum(actual)::BIGINT AS actual,
     sum((tp = predicted AND tp = actual)::INT)::BIGINT AS exact_sets, sum((predicted = 0)::INT)::BIGINT AS empty_predictions, quantile_cont(predicted, 0.5)::DOUBLE AS median_predicted, quantile_cont(predicted, 0.9)::DOUBLE AS p90_predicted, max(predicted) AS max_predicted FROM e3 GROUP BY threshold),
 m2 AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0::DOUBLE ELSE tp / predicted END AS micro_precision, CASE WHEN actual = 0 THEN 0.0::DOUBLE ELSE tp / actual END AS micro_recall FROM m)"""
 
@@ -210,7 +210,37 @@ _TEXTS = {
     "diagnose": _tokens(_substrings(_plain("business_name"), N.NAME_SUBSTRINGS_DIAGNOSE)),
 }
 
+_COLUMNS = ["entity_id", "source", "doc_id", "country", "business_name", "business_address", *KEYS]
+_KINDS = [("records", i, c, "BIGINT" if c == "doc_id" else "STRING") for i, c in enumerate(_COLUMNS, 1)] + [("truth_pairs", 1, "source1_entity_id", "STRING"), ("truth_pairs", 2, "candidate_entity_id", "STRING")]
+_EIGHT = f"WITH {KEYED}, raw AS ({raw(B.EIGHT)})"
+_CAPPED = f"caps(cap) AS (SELECT unnest([{', '.join('NULL' if c is None else str(c) for c in CAPS)}]::BIGINT[]))"
+_FREQ = lambda r: f"SELECT a.entity_id AS s, n FROM s1 a JOIN (SELECT country, {', '.join(r)}, count(*) AS n FROM rec GROUP BY ALL) f ON f.country = a.country AND {' AND '.join(f'f.{k} = a.{k} AND a.{k} <> {chr(39) * 2}' for k in r)}"
+_LCS = """lcs(u, v, i, line) AS (SELECT u, v, 0, list_transform(range(length(v) + 1), lambda z: 0) FROM texts UNION ALL
+    SELECT u, v, i + 1, list_reduce(list_transform(range(1, length(v) + 1), lambda j: [j]), lambda acc, q: list_append(acc, CASE WHEN substring(u, i + 1, 1) = substring(v, q[1]::INT, 1) THEN line[q[1]] + 1 ELSE greatest(line[q[1] + 1], acc[len(acc)]) END), [0]::BIGINT[]) FROM lcs WHERE i < length(u)),
+ratios AS (SELECT u, v, 2 * line[len(line)] / (length(u) + length(v)) AS ratio FROM lcs WHERE i = length(u))"""
+_FEATURES = f"""{', '.join(f"{eq(k)}::INT AS {n}" for n, k in FLAGS.items())}, coalesce(rn.ratio, 0.0::DOUBLE) AS name_fuzz, coalesce(ra.ratio, 0.0::DOUBLE) AS address_fuzz,
+{eq("name_token_key")}::INT::DOUBLE AS name_token_jaccard, {eq("address_token_sig")}::INT::DOUBLE AS address_token_jaccard,
+{', '.join(f"abs(length(a.{k}_key) - length(b.{k}_key))::INT AS {k}_len_diff" for k in ("name", "address"))},
+{', '.join(f"({p}.{k}_key = '')::INT AS {who}_{k}_missing" for who, p in (("s1", "a"), ("candidate", "b")) for k in ("name", "address"))}"""
+
 ORACLE_SQL: dict[str, str] = {
+    "positive_pairs_read": f"WITH {KEYED}, n AS (SELECT s1.doc_id, count(truth.c) AS n FROM s1 LEFT JOIN truth ON truth.s = s1.entity_id GROUP BY s1.doc_id), x AS (SELECT n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT count(*) AS rows_read, {count('n = 0', 'rows_skipped')} FROM x WHERE before < {SAMPLE}",
+    "catalog_columns": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {i}::BIGINT, '{c}', '{k}')" for a, i, c, k in _KINDS) + ") AS x(table_name, ordinal, column_name, data_type)",
+    "country_display": f"WITH {ENTITIES} SELECT entity_id, CASE country WHEN 'FR' THEN 'France' WHEN 'EN' THEN 'US' ELSE country END AS shown FROM entities",
+    "analysis_texts": f"WITH {ENTITIES}, x AS (SELECT entity_id, {_mapped(_tokens(_wordy('lower(business_name)')), N.NAME_MAP_ANALYSIS)} AS n, {_mapped(_tokens(_wordy('lower(business_address)')), N.ADDRESS_MAP_ANALYSIS)} AS a FROM entities) SELECT entity_id, {_join('n')} AS name, {_join('list_sort(n)')} AS sorted_name, {_join('a')} AS address FROM x",
+    "match_count_summary": f"WITH {KEYED}, n AS (SELECT entity_id, count(truth.c) AS n FROM s1 LEFT JOIN truth ON truth.s = entity_id GROUP BY entity_id) SELECT count(*) AS s1_records, {count('n = 0', 'without_match')}, sum((n = 0)::INT)::BIGINT / count(*) AS no_match_share, max(n) AS most FROM n",
+    "zero_candidate_counts": f"{_EIGHT} SELECT entity_id AS source1_entity_id, {', '.join(f'count(raw.s) FILTER (WHERE raw.i = {i}) AS r{i + 1}' for i in range(len(B.EIGHT)))}, count(raw.s) AS total FROM s1 LEFT JOIN raw ON raw.s = s1.entity_id GROUP BY entity_id",
+    "two_frequency_recovery": f"{MISSED}, f1 AS ({_FREQ(('address_number', 'address_token_sig'))}), f2 AS ({_FREQ(('first_name_token', 'address_token_sig'))}), caps(cap) AS (SELECT unnest([{', '.join(str(c) for c in CAPS if c)}]::BIGINT[])), x AS (SELECT cap, coalesce(f1.n <= cap, false) AS a, coalesce(f2.n <= cap, false) AS b FROM p LEFT JOIN f1 USING (s) LEFT JOIN f2 USING (s) CROSS JOIN caps) SELECT cap, {count('a', 'one')}, {count('b', 'two')}, {count('a OR b', 'either')} FROM x GROUP BY cap",
+    "cap_sweep_metrics": f"""{WITH} f AS (SELECT country, address_number, address_token_sig, count(*) AS n FROM rec GROUP BY ALL), {_CAPPED},
+r AS (SELECT p.s, p.c, n FROM ({rule(_NT)}) p JOIN rec ON rec.entity_id = p.c JOIN f USING (country, address_number, address_token_sig)),
+every_pair AS (SELECT cap, s, c, 0 AS fresh FROM cand CROSS JOIN caps UNION ALL SELECT cap, s, c, 1 FROM r CROSS JOIN caps WHERE (cap IS NULL OR n <= cap) AND (s, c) NOT IN (SELECT (s, c) FROM cand)),
+e AS (SELECT caps.cap, entity_id, count(q.c) AS n, coalesce(sum(q.fresh), 0) AS fresh, count(truth.s) AS hits FROM s1 CROSS JOIN caps LEFT JOIN every_pair q ON q.s = entity_id AND q.cap IS NOT DISTINCT FROM caps.cap LEFT JOIN truth ON truth.s = q.s AND truth.c = q.c GROUP BY caps.cap, entity_id)
+SELECT cap, sum(fresh)::BIGINT AS added, sum(n)::BIGINT AS total, sum(hits)::BIGINT AS found, sum(hits)::BIGINT / (SELECT count(*) FROM truth) AS recall, sum(hits)::BIGINT / sum(n)::BIGINT AS precision, sum(n)::BIGINT / count(*) AS mean_candidates, quantile_cont(n, 0.99)::DOUBLE AS p99 FROM e GROUP BY cap""",
+    "pair_features": f"""{NEGATIVES.replace('WITH ', 'WITH RECURSIVE ', 1)},
+labelled AS (SELECT s, c, 1 AS label, 'ground_truth' AS pair_source FROM (SELECT * FROM cand INTERSECT SELECT * FROM truth) UNION ALL SELECT s, c, 0, 'hard_negative' FROM neg),
+texts AS (SELECT DISTINCT u, v FROM (SELECT a.name_key AS u, b.name_key AS v FROM labelled p {WIDE} UNION SELECT a.address_key, b.address_key FROM labelled p {WIDE}) WHERE u <> '' AND v <> ''),
+{_LCS}
+SELECT {PAIR}, label, pair_source, b.source AS source, a.country AS country, {_FEATURES} FROM labelled p {WIDE} LEFT JOIN ratios rn ON rn.u = a.name_key AND rn.v = b.name_key LEFT JOIN ratios ra ON ra.u = a.address_key AND ra.v = b.address_key""",
     "first_positive_pairs": f"WITH {KEYED}, x AS (SELECT s, c, row_number() OVER (ORDER BY doc_id, c) AS row_no FROM truth JOIN s1 ON entity_id = s) SELECT {PAIR}, row_no FROM x WHERE row_no <= {SAMPLE}",
     "normalise_profiles": f"WITH {ENTITIES} SELECT entity_id, {', '.join(f'{_join(x)} AS {n}' for n, x in _TEXTS.items())} FROM entities",
     "address_numbers": f"WITH {ENTITIES}, x AS (SELECT entity_id, list_sort(list_distinct(list_filter({_ASCII.format(_substrings('lower(business_address)', N.NAME_SUBSTRINGS_FAST))}, lambda x: regexp_full_match(x, '[0-9]+[a-z]?')))) AS n FROM entities) SELECT entity_id, {_join('n', ',')} AS numbers FROM x",
@@ -266,7 +296,7 @@ ORACLE_SQL: dict[str, str] = {
     "candidate_count_percentiles": f"{COUNTS} SELECT {', '.join(f'quantile_cont(n, {p})::DOUBLE AS p{round(100 * p)}' for p in (0.5, 0.9, 0.95, 0.99))}, max(n) AS max_count, avg((n = 0)::INT) AS zero_rate, {', '.join(_rank(p, k) for p in (0.5, 0.9, 0.95, 0.99) for k in ('cumulative', 'index', 'floor'))} FROM counts",
     "zero_candidate_s1": f"{COUNTS} SELECT s AS source1_entity_id FROM counts WHERE n = 0",
     "nomatch_with_candidates": f"{WITH} x AS (SELECT s, count(*) AS n FROM cand WHERE s NOT IN (SELECT s FROM truth) GROUP BY s) SELECT count(*) AS s1_records, coalesce(sum(n), 0)::BIGINT AS pairs FROM x",
-    "candidate_ceiling": f"{FOUND} SELECT sum(n)::BIGINT AS true_pairs, sum(f)::BIGINT AS found_pairs, avg(f / n) AS mean_entity_recall, {count('n = f', 'fully_covered')}, count(*) AS entities, sum(f) / sum(n) AS pair_recall FROM found",
+    "candidate_ceiling": f"{FOUND} SELECT sum(n)::BIGINT AS true_pairs, sum(f)::BIGINT AS found_pairs, round(avg(f / n), 9) AS mean_entity_recall, {count('n = f', 'fully_covered')}, count(*) AS entities, sum(f) / sum(n) AS pair_recall FROM found",
     "positive_pairs": f"{WITH} x AS (SELECT * FROM cand INTERSECT SELECT * FROM truth) SELECT {PAIR}, 'ground_truth' AS pair_source FROM x",
     "missed_true_pairs": f"{MISSED} SELECT {PAIR} FROM p",
     "missed_signal_overlap": f"{MISSED} SELECT count(*) AS missed, {', '.join(count(eq(k), k) for k in KEYS)} FROM p {WIDE}",

@@ -68,6 +68,17 @@ TEN = rules(
     "first_name_token+address_token_sig",
 )
 
+EIGHT = rules(
+    "name_key",
+    "sorted_name_key",
+    "name_token_key+address_number",
+    "first_name_token+address_number",
+    "address_key",
+    "name_prefix_sig",
+    "name_suffix_sig",
+    "address_token_sig",
+)
+
 
 def final_rules(number_token: int = 500, first_token: int = 500, prefix_number: int = 250) -> list[Rule]:
     """The base rules and three capped ones; caps are parameters, as they must fit the data."""

@@ -15,7 +15,8 @@ from spanloom.functions import similarity as sim
 from spanloom.functions.keys import KEYS
 from spanloom.operators import caps, evaluate, features, forensics, labels, model, output
 from spanloom.plans import blocking as B
-from spanloom.sources.records import adapt_documents, explode_truth
+from spanloom.sources.records import adapt_documents, catalogue, explode_truth
+from spanloom.sources.store import built_once
 
 S, C = "source1_entity_id", "candidate_entity_id"
 #: Caps that bite on the adapter's small tables.
@@ -35,10 +36,11 @@ class Tables(NamedTuple):
 
 
 def load(spark: SparkSession, sf_dir: str, profile: str = "v2") -> Tables:
-    """S1, the records of S2 and S3, and the true pairs, with keys."""
-    entities = adapt_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    keyed = K.add_keys(entities, profile)
+    """S1, the records of S2 and S3, and the true pairs; records are keyed once and stored."""
+    path = f"{sf_dir}/documents.parquet"
+    keyed = built_once(spark, path, f"keyed-{profile}", lambda: K.add_keys(adapt_documents(spark.read.parquet(path)), profile))
     s1, rec = keyed.where("source = 'S1'"), keyed.where("source <> 'S1'")
+    entities = keyed.drop(*KEYS)
     truth = entities.where("source = 'S1'").select("doc_id", F.col("entity_id").alias(S)).join(entities.where("source <> 'S1'").select("doc_id", F.col("entity_id").alias(C)), "doc_id").drop("doc_id")
     return Tables(s1, rec, truth, entities)
 
@@ -110,9 +112,34 @@ def first_positive_pairs(t: Tables) -> DataFrame:
     return first.withColumn("row_no", number).select(S, C, *long("row_no"))
 
 
+@query
+def positive_pairs_read(t: Tables) -> DataFrame:
+    """How many truth rows are read in file order until SAMPLE pairs are there, and how many of them have no match."""
+    counts = evaluate.candidate_counts(t.s1, t.truth).join(t.s1.select(F.col("entity_id").alias(S), "doc_id"), S)
+    before = F.coalesce(F.sum("candidates").over(W.orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = counts.orderBy("doc_id").limit(SAMPLE * SAMPLE).withColumn("before", before).where(F.col("before") < SAMPLE)
+    return first.agg(F.count("*").alias("rows_read"), F.coalesce(F.sum((F.col("candidates") == 0).cast("long")), F.lit(0)).alias("rows_skipped"))
+
+
+@query
+def catalog_columns(t: Tables) -> DataFrame:
+    return catalogue({"records": t.rec.select("entity_id", "source", "doc_id", "country", "business_name", "business_address", *KEYS), "truth_pairs": t.truth}).withColumn("data_type", F.upper("data_type"))
+
+
+@query
+def country_display(t: Tables) -> DataFrame:
+    return t.entities.select("entity_id", N.display_country(F.when(F.col("country") == "FR", " france ").when(F.col("country") == "EN", "us").otherwise(F.col("country"))).alias("shown"))
+
+
 # Keys
 
 
+@query
+def analysis_texts(t: Tables) -> DataFrame:
+    name = N.analysis_name(F.col("business_name"))
+    return t.entities.select("entity_id", name.alias("name"), F.array_join(F.array_sort(N.tokens(name)), " ").alias("sorted_name"), N.analysis_address(F.col("business_address")).alias("address"))
+
+
 @query
 def normalise_profiles(t: Tables) -> DataFrame:
     return t.entities.select("entity_id", *(N.collapse(N.normalise(F.col("business_name"), p)).alias(p) for p in ("v1", "v2", "fast", "ascii", "analysis", "base", "diagnose")))
@@ -234,6 +261,17 @@ def cap_sweep(t: Tables) -> DataFrame:
     return x.select(F.col("cap").cast("bigint").alias("cap"), *long("pairs", "true_pairs"), evaluate.share(F.col("true_pairs"), F.col("pairs")).alias("precision"))
 
 
+@query
+def cap_sweep_metrics(t: Tables) -> DataFrame:
+    return caps.cap_sweep_metrics(t.s1, t.rec, t.truth, base(t), B.Rule(("address_number", "address_token_sig")), CAPS)
+
+
+@query
+def two_frequency_recovery(t: Tables) -> DataFrame:
+    lost = evaluate.missed(base(t), t.truth)
+    return forensics.two_frequency_recovery(lost, t.s1, t.rec, B.Rule(("address_number", "address_token_sig")), B.Rule(("first_name_token", "address_token_sig")), [c for c in CAPS if c])
+
+
 @query
 def freq_cap_recovery(t: Tables) -> DataFrame:
     lost = evaluate.missed(base(t), t.truth)
@@ -314,6 +352,13 @@ def match_count_distribution(t: Tables) -> DataFrame:
     return evaluate.candidate_counts(t.s1, t.truth).groupBy(F.col("candidates").alias("matches")).agg(F.count("*").alias("s1_records"))
 
 
+@query
+def match_count_summary(t: Tables) -> DataFrame:
+    counts = evaluate.candidate_counts(t.s1, t.truth)
+    none = F.sum((F.col("candidates") == 0).cast("long"))
+    return counts.agg(F.count("*").alias("s1_records"), none.alias("without_match"), (none / F.count("*")).alias("no_match_share"), F.max("candidates").alias("most"))
+
+
 @query
 def pair_recall_precision(t: Tables) -> DataFrame:
     return evaluate.recall_precision(base(t), t.truth)
@@ -357,7 +402,7 @@ def nomatch_with_candidates(t: Tables) -> DataFrame:
 @query
 def candidate_ceiling(t: Tables) -> DataFrame:
     e = evaluate.per_entity(base(t), t.truth)
-    x = e.agg(F.sum("true_pairs").alias("true_pairs"), F.sum("found_pairs").alias("found_pairs"), F.avg(F.col("found_pairs") / F.col("true_pairs")).alias("mean_entity_recall"), F.sum((F.col("true_pairs") == F.col("found_pairs")).cast("bigint")).alias("fully_covered"), F.count("*").alias("entities"))
+    x = e.agg(F.sum("true_pairs").alias("true_pairs"), F.sum("found_pairs").alias("found_pairs"), F.round(F.avg(F.col("found_pairs") / F.col("true_pairs")), 9).alias("mean_entity_recall"), F.sum((F.col("true_pairs") == F.col("found_pairs")).cast("bigint")).alias("fully_covered"), F.count("*").alias("entities"))
     return x.withColumn("pair_recall", evaluate.share(F.col("found_pairs"), F.col("true_pairs")))
 
 
@@ -425,6 +470,12 @@ def zero_candidate_diag(t: Tables) -> DataFrame:
     return forensics.zero_candidates(t.s1, t.rec, B.TEN).select(S, "country", *long("country_records"))
 
 
+@query
+def zero_candidate_counts(t: Tables) -> DataFrame:
+    """What each of eight rules gives every S1 record; those with a total of 0 are the diagnostic's."""
+    return forensics.rule_counts(t.s1, t.rec, B.EIGHT)
+
+
 @query
 def combination_recovery(t: Tables) -> DataFrame:
     w = missed_wide(t)

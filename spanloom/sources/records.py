@@ -27,8 +27,10 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> D
     return raw.select(*(F.coalesce(F.col(f.name), F.lit("")).alias(f.name) for f in schema))
 
 
-def read_records(spark: SparkSession, path: str, source: str, profile: str = "v2") -> DataFrame:
-    return K.add_keys(read_tsv(spark, path).withColumn("source", F.lit(source)).withColumn("country", N.country(F.col("country"))), profile)
+def read_records(spark: SparkSession, path: str, source: str, profile: str = "v2", limit: int | None = None) -> DataFrame:
+    """Keyed records of a file, or of its first ``limit`` rows."""
+    raw = read_tsv(spark, path)
+    return K.add_keys((raw.limit(limit) if limit is not None else raw).withColumn("source", F.lit(source)).withColumn("country", N.country(F.col("country"))), profile)
 
 
 def explode_truth(truth: DataFrame) -> DataFrame:
@@ -37,6 +39,13 @@ def explode_truth(truth: DataFrame) -> DataFrame:
     return truth.where(F.trim("source1_entity_id") != "").select(F.trim("source1_entity_id").alias("source1_entity_id"), F.explode(ids).alias("matched_entity_id")).distinct()
 
 
+def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, ordinal, column_name, data_type) of every column, without reading a row."""
+    rows = [(name, i, c, t) for name, df in tables.items() for i, (c, t) in enumerate(df.dtypes, 1)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, ordinal long, column_name string, data_type string")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
 

@@ -15,4 +15,4 @@ def test_entry_runs(spark):
 
 
 def test_only_models_and_string_matchers_lack_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"pair_features", "heuristic_scores", "heuristic_matches", "gbt_scores", "gbt_evaluation", "gbt_importances"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"heuristic_scores", "heuristic_matches", "gbt_scores", "gbt_evaluation", "gbt_importances"}
