@@ -4,7 +4,7 @@ Each response gives one metadata record (application/warc-fields: what the
 response says about itself, and which record its text is in) and one conversion
 record (its visible text, text/plain in UTF-8).  Both name the response in
 WARC-Refers-To, carry its URI and date, its payload digest and its HTTP header
-lines, and have digests of their own.  Identifiers are made from the response's
+lines, and have digests of their own; files keep all of these.  Identifiers are made from the response's
 identifier and the record type, so a repeated run gives the same records.
 
 One pass without a shuffle; a record depends on its response alone.
@@ -14,13 +14,11 @@ One pass without a shuffle; a record depends on its response alone.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
-import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,13 +26,16 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import lean, ship
 
-_SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b.*?(?:</head\s*>|(?=<body\b)|\Z)|<!doctype[^>]*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
+_SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<head\b.*?(?:</head\s*>|(?=<body\b)|\Z)|<!doctype[^>]*>", re.I | re.S)
+_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[/a-zA-Z!?][^>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LANGUAGE = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile("</title", re.I)
+_LANGUAGE = re.compile(r"<html\b[^<>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_LINK = re.compile(r"<a\b([^<>]*)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: What every record begins with, up to the last digit of the version.
+_BEGIN = "WARC/1."
 COLUMNS = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, source_headers string, block string"
 
 
@@ -53,6 +54,12 @@ def _one_line(x: str) -> str:
     return " ".join(html.unescape(x).split())
 
 
+def _title(page: str) -> str:
+    begin = _TITLE.search(page)
+    end = begin and _TITLE_END.search(page, begin.end())
+    return _one_line(page[begin.end() : end.start()]) if end else ""
+
+
 def derivatives(record_id: str | None, uri: str | None, date: str | None, headers: str | None, payload: bytes | None) -> list[tuple]:
     """The metadata and the conversion record of a response."""
     payload, headers, source = payload or b"", headers or "", record_id or "<urn:uuid:00000000-0000-0000-0000-000000000000>"
@@ -64,15 +71,16 @@ def derivatives(record_id: str | None, uri: str | None, date: str | None, header
     page = page.encode("utf-8", "replace").decode()
     own = {kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source} {kind}')}>" for kind in ("metadata", "conversion")}
     said = digest(payload)
-    title, language = _TITLE.search(page), _LANGUAGE.search(page)
+    language = _LANGUAGE.search(page)
+    links = filter(None, (_HREF.search(m[1]) for m in _LINK.finditer(page)))
     fields = [
         ("conversion", own["conversion"]),
         ("sourceContentType", next((x.partition(":")[2].strip() for x in headers.splitlines() if x.lower().startswith("content-type:")), "")),
         ("sourceLength", str(len(payload))),
         ("charset", named[1].lower() if named else "utf-8"),
         ("language", language[1] if language else ""),
-        ("title", _one_line(title[1]) if title else ""),
-        *(("outlink", _one_line(next(filter(None, m.groups()), ""))) for m in _LINK.finditer(page)),
+        ("title", _title(page)),
+        *(("outlink", _one_line(next(filter(None, m.groups()), ""))) for m in links),
     ]
     out = []
     for kind, content, block in (
@@ -132,8 +140,12 @@ def _line(name: str, value: Column) -> Column:
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
-    """Records as WARC/1.1 files below ``path``, written by Spark's own text writer."""
-    source = F.regexp_replace(F.rtrim(F.coalesce("source_headers", F.lit(""))), r"\r?\n", " | ")
+    """Records as WARC/1.1 files below ``path``, written by Spark's own text writer.
+
+    Every header line of the source has a line of its own; line ends inside
+    other values become spaces.  An empty table gives no record.
+    """
+    lines = F.filter(F.split(F.coalesce("source_headers", F.lit("")), r"\r?\n"), lambda x: x != "")
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
@@ -144,51 +156,72 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
         _line("WARC-Target-URI", F.col("target_uri")),
         _line("WARC-Block-Digest", F.col("block_digest")),
         _line("X-Source-Payload-Digest", F.col("payload_digest")),
-        _line("X-Source-Headers", F.nullif(source, F.lit(""))),
+        F.when(F.size(lines) > 0, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("X-Source-Header: "), x)), "\r\n")),
         _line("Content-Type", F.col("content_type")),
         _line("Content-Length", F.octet_length("block").cast("string")),
     )
     records.select(F.concat(head, F.lit("\r\n\r\n"), "block").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def parse_warc(file) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an open binary file, one at a time."""
-    while line := file.readline():
-        if not line.strip():
+def _head(raw: bytes) -> tuple[dict[str, str], int]:
+    """(headers, place of the block) of a record from its version's last digit on; lines of a repeated header are joined by line ends."""
+    end = raw.find(b"\r\n\r\n")
+    if end < 0 or b":" not in raw[:end]:
+        raise ValueError(f"not a WARC record: {raw[:40]!r}")
+    headers: dict[str, str] = {}
+    for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        headers[name] = f"{headers[name]}\r\n{value.strip()}" if name in headers else value.strip()
+    return headers, end + 4
+
+
+def parse_warc(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of what stands between two beginnings; a block may hold such a beginning itself."""
+    held = b""
+    for part in parts:
+        if not held and not part.strip():
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        headers: dict[str, str] = {}
-        while (line := file.readline().decode("utf-8", "replace").rstrip("\r\n")) != "":
-            name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, file.read(int(headers.get("content-length", 0)))
+        held = held + _BEGIN.encode() + part if held else part
+        headers, at = _head(held)
+        size = int(headers.get("content-length", 0))
+        if len(held) >= at + size:
+            yield headers, held[at : at + size]
+            held = b""
+    if held:
+        raise ValueError("a WARC record is cut off")
 
 
 @lean
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column(0):
-            file = io.BytesIO(raw.as_py())
-            if file.getbuffer()[:2] == b"\x1f\x8b":
-                file = gzip.GzipFile(fileobj=file)
-            held: list[tuple] = []
-            for h, block in parse_warc(file):
-                held.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), h.get("warc-block-digest"), block))
-                if len(held) == 256:
-                    yield _batch(held)
-                    held = []
-            if held:
-                yield _batch(held)
+    held: list[tuple] = []
+    for h, block in parse_warc(x.as_py() or b"" for batch in batches for x in batch.column(0)):
+        source = h.get("x-source-header")
+        held.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), len(block), h.get("warc-block-digest"), h.get("x-source-payload-digest"), f"{source}\r\n" if source else "", block))
+        if len(held) == 256:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
+
+_READ = COLUMNS.replace("block string", "block binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["record_id", "record_type", "refers_to", "target_uri", "date", "content_type", "block_digest", "block"]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    columns = [x.split() for x in _READ.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for (_, t), c in zip(columns, zip(*rows, strict=True), strict=True)], names=[n for n, _ in columns])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, plain or gzipped; a file is read by one task, record by record."""
+    """The records of WARC files, plain or gzipped, with the columns that ``build_derivatives`` gives and the block as bytes.
+
+    Files are read as streams of records, large plain ones by several tasks; a
+    record is held at a time.  A file that is no WARC file or is cut off fails,
+    and so does one in which a block with a record's beginning in it meets the
+    bounds of two tasks.
+    """
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(_read, "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, block_digest string, block binary")
+    parts = spark.read.option("lineSep", _BEGIN).option("recursiveFileLookup", "true").text(path).select(F.col("value").cast("binary"))
+    return parts.mapInArrow(_read, _READ)

@@ -105,4 +105,57 @@ def test_files_round_trip(spark, tmp_path, compression):
     assert len(back) == len(made)
     for r in made:
         b = back[r["record_id"]]
-        assert bytes(b["block"]).decode() == r["block"] and all(b[c] == r[c] for c in ("record_type", "refers_to", "target_uri", "date", "content_type", "block_digest"))
+        assert bytes(b["block"]).decode() == r["block"]
+        assert all(b[c] == r[c] for c in ("record_type", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", "source_headers"))
+
+
+def test_blocks_may_hold_the_beginning_of_a_record(spark, tmp_path):
+    page = "<p>WARC/1.1 is a format\r\n\r\nWARC/1.0 was one</p>"
+    df = spark.createDataFrame([(f"<urn:{i}>", "http://a/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nA: b\r\n", page, 1, "x") for i in range(3)], "record_id string, target_uri string, date string, http_headers string, payload string, block int, record_type string")
+    made = warc.build_derivatives(df)
+    warc.write_warc(made, str(tmp_path / "w"))
+    key = lambda r: (r["record_id"], r["source_headers"], bytes(r["block"]) if not isinstance(r["block"], str) else r["block"].encode())
+    assert sorted(map(key, warc.read_warc(spark, str(tmp_path / "w")).collect())) == sorted(map(key, made.collect()))
+    (tmp_path / "bad").write_bytes(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_warc(spark, str(tmp_path / "bad")).collect()
+
+
+def test_visible_text_equals_a_plain_parser(spark):
+    """On the given pages: all text of the body, a line for each block."""
+    from html.parser import HTMLParser
+
+    blocks = set("article div h1 h2 h3 p ul ol li nav footer header aside section body br form table tr td".split())
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "head")
+            self.out += [""] if tag in blocks else []
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "head")
+            self.out += [""] if tag in blocks else []
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out[-1] += data
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = Plain()
+        plain.feed(r["html"])
+        assert warc.visible_text(r["html"]) == "\n".join(x for x in (" ".join(o.split()) for o in plain.out) if x)
+
+
+@pytest.mark.parametrize("page", ["<a ", "<script ", "<title>", "<html ", "<p ", "<!--", "<a href=", "<head>", "word "])
+def test_long_pages_take_linear_time(page):
+    def took(n):
+        began = time.perf_counter()
+        warc.derivatives("<urn:1>", "u", "d", "", (page * n).encode())
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 12 * max(took(20_000), 0.01)
