@@ -33,15 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spanloom.llm.common import in_filter, lean, membership_filter, mix64, runs, seeds, ship, spark_hash, stage, unstage, utf8
+from spanloom.llm.common import in_filter, lean, membership_filter, mix64, runs, seeds, ship, stage, unstage, utf8
 from spanloom.llm.components import components
 from spanloom.llm.shingles import shingle_hashes, sorted_sets, word_hashes
 
 HASHES, CHUNKS, ERRORS, DISTANCE, WORDS = 40, 10, 1, 19, 5
 #: A bucket of so many nodes is compared by pairs, a larger one by blocks of about so many rows and shingles.
-SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 16, 512, 250_000
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 16, 256, 250_000
 _A, _B = seeds(HASHES, 21) | np.uint64(1), seeds(HASHES, 22)
 
 
@@ -82,17 +81,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, shingles, begins, _, at, node in _sets_of(batch.column(1)):
             sign = signatures(shingles, begins)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(node), pa.array([x.tobytes() for x in sign], pa.binary())],
-                names=["doc_id", "n_shingles", "node", "signature"],
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(at)), pa.array(node), pa.array([x.tobytes() for x in sign], pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "node", "signature"],
             )
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, signature) per row."""
+    """(doc_id, text_key, n_shingles, node, signature) per row; text_key is a 64-bit hash of the text."""
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _sign, "doc_id long, n_shingles long, node long, signature binary"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key"))
+    return rows.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, node long, signature binary")
+
+
+def text_key(column: str):
+    return F.xxhash64(F.col(column).cast("string"))
 
 
 def keys(nodes: DataFrame) -> DataFrame:
@@ -110,12 +112,13 @@ def keys(nodes: DataFrame) -> DataFrame:
 
 @lean
 def _sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
-    """node, members of the sets that the filter passes, each once for a task."""
+    """node, members of the texts whose key the filter passes, each set once for a task."""
     seen: set[int] = set()
     for batch in batches:
+        batch = batch.filter(pa.array(in_filter(bits, batch.column(1).to_numpy(zero_copy_only=False))))
         for _, _, _, _, values, at, node in _sets_of(batch.column(0)):
             rows = []
-            for i in np.flatnonzero(in_filter(bits, spark_hash(node)) & (np.diff(at) > 0)).tolist():
+            for i in np.flatnonzero(np.diff(at) > 0).tolist():
                 if int(node[i]) not in seen:
                     seen.add(int(node[i]))
                     rows.append(i)
@@ -188,19 +191,21 @@ def _could(a: str, b: str) -> str:
 def link_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of the nodes that share a bucket with another; a component is its least node.
 
-    ``nodes`` has node, n, signature; ``texts`` has the texts that the nodes are the sets of.
+    ``nodes`` has node, n, signature and the text_key of a text with the set; ``texts`` has texts.
     """
     every = keys(nodes)
     shared = every.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n")).where("c > 1").drop("c")
     kept = stage(every.join(shared, "key"), "buckets")
     wanted = stage(kept.select("node").distinct(), "wanted")
-    sets = texts.mapInArrow(partial(_sets, bits=membership_filter(wanted, "node")), "node long, members binary")
-    sets = stage(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
+    held = stage(nodes.join(wanted, "node", "left_semi").select("text_key"), "texts")
+    # the filter is asked by the hash of the key
+    sets = texts.select("text", F.xxhash64(text_key("text")).alias("slot")).mapInArrow(partial(_sets, bits=membership_filter(held, "text_key")), "node long, members binary")
+    sets = stage(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")), "sets")
     first = kept.where("node <> pivot").where(_could("n", "pivot_n")).groupBy(F.col("node").alias("v"), F.col("pivot").alias("u")).count()
     first = first.groupBy("v").agg(F.max(F.struct("count", (-F.col("u")).alias("u"))).alias("x")).select((-F.col("x.u")).alias("u"), "v")
     done = stage(confirm(first, sets).where("linked").select("u", "v"), "confirmed")
     labels = stage(wanted.join(components(done), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    unstage(done, wanted)
+    unstage(done, wanted, held)
     opened = _open(kept.select("key", "node", "n"), labels)
     unstage(kept)
     small = opened.where(f"size <= {SMALL}")
@@ -236,11 +241,11 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and (node, rows, low, component, component_id) of every set that isn't empty."""
+    """(doc_id, text_key, n_shingles, node) of every row, and (node, rows, low, component, component_id) of every set that isn't empty."""
     signed = stage(sign(docs, id_col, text_col), "signatures")
-    groups = signed.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low"), F.count("*").alias("rows"))
+    groups = signed.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("low"), F.count("*").alias("rows"), F.min("text_key").alias("text_key"))
     groups = stage(groups, "groups")
-    labels = link_nodes(groups.select("node", "n", "signature"), docs.select(F.col(text_col).cast("string").alias("text")))
+    labels = link_nodes(groups.select("node", "n", "signature", "text_key"), docs.select(F.col(text_col).cast("string").alias("text")))
     placed = groups.select("node", "low", "rows").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return signed.drop("signature"), stage(placed, "classes")
 
@@ -275,23 +280,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     words all stay, also where they are repeated.  Rows of classes of one row
     are passed on where they are; the others' keepers are shuffled.
     """
-    _, placed = _classes(docs, id_col, text_col)
+    signed, placed = _classes(docs, id_col, text_col)
     # of a class: rows in all, and the least (no id, id, set)
     order = F.struct(F.col("low").isNull().alias("no"), "low", "node")
     classes = placed.groupBy("component").agg(F.sum("rows").alias("rows"), F.min(order).alias("x")).where("rows > 1")
-    crowded = stage(placed.select("node", "component").join(classes, "component").select(F.col("node").alias("__node"), F.col("x.node").alias("__of"), F.col("x.low").alias("__low")), "crowded")
-    bits = membership_filter(crowded, "__node")
-    marked = docs.mapInArrow(partial(_mark, bits=bits, text_at=docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
-    named = marked.where("__node is not null").join(crowded, "__node", "left")
-    own = (F.col("__node") == F.col("__of")) & F.col(id_col).cast("long").eqNullSafe(F.col("__low"))
-    keepers = named.where(F.col("__of").isNotNull() & own).dropDuplicates(["__node"])
-    return marked.where("__node is null").unionByName(named.where("__of is null").drop("__of", "__low")).unionByName(keepers.drop("__of", "__low")).select(*docs.columns)
+    crowded = placed.select("node", "component").join(classes, "component").select("node", F.col("x.node").alias("__of"), F.col("x.low").alias("__low"))
+    texts = signed.where("n_shingles > 0").select("node", "text_key").distinct().join(crowded, "node")
+    texts = stage(texts.select(F.col("text_key").alias("__key"), F.col("node").alias("__node"), "__of", "__low"), "crowded")
+    bits = membership_filter(texts, "__key")
 
+    @F.arrow_udf("boolean")
+    def maybe(slots: pa.Array) -> pa.Array:
+        return pa.array(in_filter(bits, slots.to_numpy(zero_copy_only=False)))
 
-@lean
-def _mark(batches: Iterator[pa.RecordBatch], bits: bytes, text_at: int) -> Iterator[pa.RecordBatch]:
-    """The rows with the hash of their set, or null where the set is empty or the filter lacks it."""
-    for batch in batches:
-        for a, b, _, _, _, at, node in _sets_of(batch.column(text_at)):
-            wanted = in_filter(bits, spark_hash(node)) & (np.diff(at) > 0)
-            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(node, mask=~wanted)], names=[*batch.schema.names, "__node"])
+    marked = docs.withColumn("__key", text_key(text_col)).withColumn("__maybe", maybe(F.xxhash64("__key")))
+    named = marked.where("__maybe").join(texts, "__key", "left")
+    own = (F.col("__node") == F.col("__of")) & F.col(id_col).cast("long").eqNullSafe(F.col("__low"))
+    keepers = named.where(F.col("__of").isNotNull() & own).dropDuplicates(["__node"])
+    return marked.where("not __maybe").select(*docs.columns).unionByName(named.where("__of is null").select(*docs.columns)).unionByName(keepers.select(*docs.columns))
