@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import quality
-from spanloom.llm.neighbours import learn, nearest, unit
+from spanloom.llm.neighbours import centres, enough_visits, filed, learn, nearest, unit, visits
 from spanloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -107,6 +107,41 @@ def test_unusable_vectors_and_ties(spark):
     assert nearest(vectors(spark, bad[:6]), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_a_large_group_of_copies_hides_nothing(spark):
+    """A third of the rows is one vector: queries near it still find the rows beyond."""
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(900, 16))
+    x[rnd.permutation(900)[:300]] = x[0]
+    x[150:156] = x[0] + rnd.normal(size=(6, 16)) * 0.3
+    got = {}
+    for r in nearest(vectors(spark, [(i, v.tolist(), "x") for i, v in enumerate(x)]), F.col("vec_id") % 50 == 0, shortlist=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = unit(x.astype(np.float32).astype(np.float64))
+    hit = 0
+    for q in range(0, 900, 50):
+        s = np.round(x @ x[q], 12)
+        s[q] = -2
+        best = np.lexsort((np.arange(900), -s))[:5]
+        hit += len({v for _, v, _ in got[q]} & set(best.tolist()))
+        assert [r for r, _, _ in sorted(got[q])] == [1, 2, 3, 4, 5]
+    assert hit >= 0.95 * 5 * 18
+
+
+def test_visits_hold_the_neighbours():
+    x = unit(np.random.default_rng(6).normal(size=(3000, 16)))
+    books = learn(x, books=4, words=32)
+    codes, _ = books.encode(x)
+    for two in (False, True):
+        middle, own = centres(books, two), filed(codes, 32, two)
+        n = enough_visits(x, codes, books, two, 5)
+        assert 1 <= n < len(middle)
+        lists = visits(x[:200], middle, n)
+        near = x[:200] @ x.T
+        near[np.arange(200), np.arange(200)] = -2
+        best = np.argsort(-near, axis=1)[:, :5]
+        assert np.mean([own[b] in set(r) for r, bs in zip(lists.tolist(), best.tolist(), strict=True) for b in bs]) >= 0.95
+
+
 def test_beam_is_no_worse_than_greedy():
     x = unit(np.random.default_rng(2).normal(size=(600, 16)))
     books = learn(x, books=4, words=16)
