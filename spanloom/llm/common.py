@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to the byte kernels in runs of about so many bytes.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _MADE: ContextVar[list[str] | None] = ContextVar("stage tables", default=None)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -192,19 +192,6 @@ def in_filter(bits: bytes, slots: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def spark_hash(x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of one long column (seed 42)."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
-    with np.errstate(over="ignore"):
-        h = np.uint64(42) + p5 + np.uint64(8)
-        h = h ^ turn(x.view(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        return (h ^ h >> np.uint64(32)).view(np.int64)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64's constants)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

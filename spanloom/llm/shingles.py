@@ -4,8 +4,8 @@ per word.
 A word is a maximal run of characters other than space and U+0009 to U+000D;
 A to Z are lower-cased.  All separators are ASCII, so words can be found in
 UTF-8 bytes directly.  A word's hash is the sum of a random 64-bit value per
-byte times an odd factor per position, finalised; a shingle's hash mixes the
-hashes of its words.  Blocks are cut at separators, so memory is bounded by the
+byte times an odd number's power by position, taken from running sums over many
+words at once and finalised; a shingle's hash mixes the hashes of its words.  Blocks are cut at separators, so memory is bounded by the
 block and not by the text.
 """
 
@@ -13,22 +13,31 @@ from __future__ import annotations
 
 import numpy as np
 
-from spanloom.llm.common import BLOCK_BYTES, mix64, seeds
+from spanloom.llm.common import mix64, seeds
+
+#: Bytes that are hashed at a time, and up to the end of a word.
+BLOCK_BYTES = 1 << 18
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = seeds(256, 11)[_LOWER]
-_PLACE = seeds(4096, 12) | np.uint64(1)
 _LENGTH = seeds(64, 13)
+_BASE = int(seeds(1, 15)[0] | np.uint64(5))
+_POWERS: list[np.ndarray] = []
 
 
-def _place(n: int) -> np.ndarray:
-    global _PLACE
-    if n > len(_PLACE):
-        _PLACE = seeds(1 << int(n).bit_length(), 12) | np.uint64(1)
-    return _PLACE
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An odd number's powers modulo 2^64, and their inverses."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n, 1 << 19)
+    with np.errstate(over="ignore"):
+        made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    if size == 1 << 19:  # those of a very long word aren't kept
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +59,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         begins[cut] = inside[cut]  # a text's first byte begins a word
         starts = np.flatnonzero(begins)
         if len(starts):
-            rank = np.cumsum(begins) - 1
-            place = np.arange(len(block)) - starts[np.maximum(rank, 0)]
+            last = inside.copy()
+            last[:-1] &= ~inside[1:] | begins[1:]
+            power, inverse = _powers(len(block))
+            sums = np.zeros(len(block) + 1, np.uint64)
             with np.errstate(over="ignore"):
-                term = _BYTE[block] * _place(int(place[inside].max()) + 1)[np.where(inside, place, 0)]
-                term[~inside] = 0
-                hashes.append(mix64(np.add.reduceat(term, starts)))
+                np.cumsum(_BYTE[block] * power[: len(block)], out=sums[1:])
+                hashes.append(mix64((sums[np.flatnonzero(last) + 1] - sums[starts]) * inverse[starts]))
             starts_all.append(starts + at)
         at = end
     if not hashes:
