@@ -298,3 +298,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = (F.col("__node") == F.col("__of")) & F.col(id_col).cast("long").eqNullSafe(F.col("__low"))
     keepers = named.where(F.col("__of").isNotNull() & own).dropDuplicates(["__node"])
     return marked.where("not __maybe").select(*docs.columns).unionByName(named.where("__of is null").select(*docs.columns)).unionByName(keepers.select(*docs.columns))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of ``near_duplicates`` over ``documents``: every pair that shares a shingle, and the closure of what is linked."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, '{letters}', '{letters.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')))) END AS s FROM words),
+nodes AS MATERIALIZED (SELECT row_number() OVER () AS node, s, len(s) AS n, low FROM (SELECT s, min(doc_id) AS low FROM sets WHERE len(s) > 0 GROUP BY s)),
+items AS MATERIALIZED (SELECT node, n, unnest(s) AS x FROM nodes),
+links AS MATERIALIZED (SELECT a.node AS u, b.node AS v FROM items a JOIN items b ON a.x = b.x AND a.node <> b.node AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 175 * count(*) >= 75 * (a.n + b.n)),
+reach AS (SELECT node AS u, node AS v FROM nodes UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+lows AS (SELECT u, min(low) AS component_id FROM reach JOIN nodes ON node = v GROUP BY u)
+SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN node IS NULL THEN doc_id ELSE component_id END AS component_id, coalesce(doc_id = CASE WHEN node IS NULL THEN doc_id ELSE component_id END, false) AS kept
+FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN lows ON u = node"""

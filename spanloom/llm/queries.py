@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, quality, secrets, url_filter, warc
+from spanloom.llm import decontaminate, near_dedup, quality, secrets, url_filter, warc
 from spanloom.llm.common import table
 from spanloom.llm.main_text import extract_main_text
-from spanloom.llm.near_dedup import near_duplicates
 from spanloom.llm.neighbours import nearest
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.passages import repeated_passages
@@ -56,7 +55,7 @@ def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_multipart_secrets": secrets.oracle_sql(),
+    "op8_minhash_near_dedup": near_dedup.oracle_sql(),
     "op9_token_indexed_urls": url_filter.oracle_sql(),
 }

@@ -4,9 +4,10 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from spanloom.llm import queries
 from spanloom.llm.common import utf8
 from spanloom.llm.components import components
-from spanloom.llm.near_dedup import HASHES, keep_one, near_duplicates, shared_counts, signatures
+from spanloom.llm.near_dedup import HASHES, keep_one, near_duplicates, oracle_sql, shared_counts, signatures
 from spanloom.llm.shingles import shingle_hashes, sorted_sets, word_hashes
 
 
@@ -168,3 +169,19 @@ def test_large_bucket_by_blocks(spark, docs, monkeypatch):
 
 def test_empty_table(spark, docs):
     assert near_duplicates(docs("x").where("false")).count() == 0
+
+
+def test_query_matches_sql(same):
+    assert same(queries.QUERIES["op8_minhash_near_dedup"], queries.ORACLE_SQL["op8_minhash_near_dedup"]) == 1000
+
+
+def test_sql_has_the_results_stated_for_odd_rows(docs, duck):
+    words = [f"w{i}" for i in range(40)]
+    near = " ".join([*words[:39], "other"])
+    rows = [" ".join(words), near, near, None, "", " \t\n", "two Words", "two words", "É x", "é x", "apart from all the others here"]
+    df = docs(*rows, ids=[9, 7, None, 1, 2, 3, 4, 5, 6, 8, 7])
+    got = {repr(tuple(r)) for r in near_duplicates(df).collect()}
+    cursor = duck.cursor()
+    cursor.execute("CREATE TEMP TABLE odd (doc_id BIGINT, text VARCHAR)")
+    cursor.executemany("INSERT INTO odd VALUES (?, ?)", [(r.doc_id, r.text) for r in df.collect()])
+    assert {repr(r) for r in cursor.execute(oracle_sql().replace("FROM documents", "FROM odd")).fetchall()} == got
