@@ -167,6 +167,20 @@ def test_large_bucket_by_blocks(spark, docs, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(list(enumerate(texts)))
 
 
+def test_links_of_blocks_are_fewer_than_rows(docs, monkeypatch):
+    """Blocks of a large group of near copies don't return links for each pair of them."""
+    import spanloom.llm.near_dedup as module
+
+    made = []
+    monkeypatch.setattr(module, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(module, "SMALL", 3)
+    monkeypatch.setattr(module, "components", lambda edges: made.append(edges.count()) or components(edges))
+    texts = variants(random.Random(9), [f"t{i}" for i in range(120)], 120, 3)
+    got = near_duplicates(docs(*texts)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(list(enumerate(texts)))
+    assert sum(made) < 5 * len(texts), made
+
+
 def test_empty_table(spark, docs):
     assert near_duplicates(docs("x").where("false")).count() == 0
 
