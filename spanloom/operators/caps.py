@@ -31,13 +31,16 @@ def pair_frequency(pairs: DataFrame, s1: DataFrame, rec: DataFrame, rule: B.Rule
     return pairs.join(left.select(S, "key"), S).join(right.select(C, F.col("key").alias("other")), C).where("key = other").join(freq, "key").select(S, C, "frequency")
 
 
-def cap_sweep_metrics(s1: DataFrame, rec: DataFrame, truth: DataFrame, base: DataFrame, rule: B.Rule, caps: list[int | None]) -> DataFrame:
-    """What a rule adds to the pairs of ``base`` at each cap: added, total, found, recall, precision, mean and 99th percentile of candidates per S1 record."""
+def cap_sweep_metrics(s1: DataFrame, rec: DataFrame, truth: DataFrame, base: list[B.Rule], rule: B.Rule, caps: list[int | None]) -> DataFrame:
+    """What a rule adds to the candidates of the plan ``base`` at each cap: added, total, found, recall, precision, mean and 99th percentile of candidates per S1 record."""
     marked = truth.withColumn("is_true", F.lit(1))
-    old = base.join(marked, [S, C], "left").groupBy(S).agg(F.count("*").alias("n0"), F.sum(F.coalesce("is_true", F.lit(0))).alias("t0"))
-    raw = B.keyed(s1, [rule], S).join(B.keyed(rec, [rule], C), ["rule_idx", "key"]).select(S, C, "key").join(B.key_frequency(rec, [rule]).select("key", "frequency"), "key")
+    times = truth.groupBy(S, C).agg(F.count("*").alias("m"))
+    true = B.among(truth, s1, rec, base).join(times, [S, C]).select(S, (F.col("m") - 1).alias("n0"), F.col("m").alias("t0"))
+    old = B.candidate_numbers(s1, rec, base).select(S, F.col("candidates").alias("n0"), F.lit(0).cast("long").alias("t0")).unionByName(true)
+    old = old.groupBy(S).agg(F.sum("n0").alias("n0"), F.sum("t0").alias("t0"))
+    raw = B.matched(B.keyed(s1, [rule], S), B.keyed(rec, [rule], C)).select(S, C, "key").join(B.key_frequency(rec, [rule]).select("key", "frequency"), "key")
     limits = F.explode(F.array(*(F.lit(c).cast("int") for c in caps))).alias("cap")
-    new = raw.join(base, [S, C], "left_anti").join(marked, [S, C], "left").select(S, "frequency", F.coalesce("is_true", F.lit(0)).alias("hit"), limits).where("cap is null or frequency <= cap")
+    new = raw.join(B.among(raw, s1, rec, base), [S, C], "left_anti").join(marked, [S, C], "left").select(S, "frequency", F.coalesce("is_true", F.lit(0)).alias("hit"), limits).where("cap is null or frequency <= cap")
     new = new.groupBy(S, F.coalesce("cap", F.lit(-1)).alias("at")).agg(F.count("*").alias("n1"), F.sum("hit").alias("t1"))
     grid = s1.select(F.col("entity_id").alias(S), limits).withColumn("at", F.coalesce("cap", F.lit(-1)))
     each = grid.join(old, S, "left").join(new, [S, "at"], "left").fillna(0, ["n0", "t0", "n1", "t1"]).withColumn("n", F.col("n0") + F.col("n1"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators import features as X
+from spanloom.plans import blocking as B
 
 S, C = X.S, X.C
 
@@ -15,13 +16,44 @@ def positives(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(truth, [S, C], "left_semi").withColumns({"label": F.lit(1), "pair_source": F.lit("ground_truth")})
 
 
+def _wanted(ratio: int, most: int) -> Column:
+    return F.when(F.coalesce("p", F.lit(0)) > 0, F.least(ratio * F.col("p"), F.lit(most))).otherwise(most)
+
+
 def hard_negatives(pairs: DataFrame, truth: DataFrame, s1: DataFrame, rec: DataFrame, ratio: int = 5, most: int = 30) -> DataFrame:
     """The false candidates that agree on most keys: ``ratio`` for each positive of the S1 record and ``most`` at most."""
-    found = positives(pairs, truth).groupBy(S).agg(F.count("*").alias("p"))
-    scored = X.enrich(pairs.join(truth, [S, C], "left_anti"), s1, rec).select(S, C, X.block_score().alias("block_score")).where("block_score > 0")
-    wanted = F.when(F.coalesce("p", F.lit(0)) > 0, F.least(ratio * F.col("p"), F.lit(most))).otherwise(most)
+    return _hardest(X.enrich(pairs.join(truth, [S, C], "left_anti"), s1, rec), positives(pairs, truth), ratio, most)
+
+
+def plan_negatives(plan: list[B.Rule], truth: DataFrame, s1: DataFrame, rec: DataFrame, ratio: int = 5, most: int = 30) -> DataFrame:
+    """``hard_negatives`` of a plan's candidates, scored where they are made; only the first of each S1 record are shuffled."""
+    true = truth.groupBy(F.col(S).alias("entity_id")).agg(F.collect_set(C).alias("__true"))
+    wide = X.enriched(s1.join(true, "entity_id", "left"), rec, plan, ("__true",))
+    return _hardest(wide.where(~F.coalesce(F.array_contains("__true", F.col(C)), F.lit(False))), B.among(truth, s1, rec, plan), ratio, most)
+
+
+def _hardest(wide: DataFrame, found: DataFrame, ratio: int, most: int) -> DataFrame:
+    scored = wide.select(S, C, X.block_score().alias("block_score")).where("block_score > 0")
     rank = F.row_number().over(W.partitionBy(S).orderBy(F.desc("block_score"), C))
-    return scored.withColumn("rn", rank).join(found, S, "left").where(F.col("rn") <= wanted).select(S, C, "block_score", "rn", F.lit(0).alias("label"), F.lit("hard_negative").alias("pair_source"))
+    first = scored.withColumn("rn", rank).where(F.col("rn") <= most)  # none gets more: rows over this leave before they are shuffled
+    first = first.join(found.groupBy(S).agg(F.count("*").alias("p")), S, "left").where(F.col("rn") <= _wanted(ratio, most))
+    return first.select(S, C, "block_score", "rn", F.lit(0).alias("label"), F.lit("hard_negative").alias("pair_source"))
+
+
+def plan_pairs(plan: list[B.Rule], truth: DataFrame, s1: DataFrame, rec: DataFrame) -> DataFrame:
+    """``training_pairs`` of a plan's candidates."""
+    keep = [S, C, "label", "pair_source"]
+    return positives(B.among(truth, s1, rec, plan), truth).select(keep).unionByName(plan_negatives(plan, truth, s1, rec).select(keep))
+
+
+def plan_balance(plan: list[B.Rule], truth: DataFrame, s1: DataFrame, rec: DataFrame, ratio: int = 5, most: int = 30) -> DataFrame:
+    """(S, positives, negatives) that ``plan_pairs`` has of each S1 record, from counts: nothing is ranked."""
+    true = B.among(truth, s1, rec, plan)
+    rows = lambda wide, sign: wide.where(X.block_score() > 0).groupBy(S).agg((sign * F.count("*")).alias("n"))
+    false = rows(X.enriched(s1, rec, plan), 1).unionByName(rows(X.enrich(true, s1, rec), -1)).groupBy(S).agg(F.sum("n").alias("n"))
+    each = false.join(true.groupBy(S).agg(F.count("*").alias("p")), S, "full")
+    each = each.select(S, F.coalesce("p", F.lit(0)).alias("positives"), F.least(F.coalesce("n", F.lit(0)), _wanted(ratio, most)).alias("negatives"))
+    return each.where("positives + negatives > 0")
 
 
 def training_pairs(pairs: DataFrame, truth: DataFrame, s1: DataFrame, rec: DataFrame) -> DataFrame:
