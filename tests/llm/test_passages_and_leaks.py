@@ -113,6 +113,17 @@ def test_odd_rows(docs):
     assert connected(P.repeated_passages(long).collect()) == {0: 0, 1: 0}
 
 
+def test_each_document_of_a_pair_has_a_row_in_the_query(spark, docs, monkeypatch):
+    from spanloom.llm import queries
+
+    rnd = random.Random(30)
+    shared = noise(rnd, 60)
+    df = docs(f"{noise(rnd, 9)} {shared}", f"{shared} {noise(rnd, 7)}", noise(rnd, 80))
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["other_id"], r["other_start_word"]) for r in queries.op5_compact_windows(spark, "").collect()}
+    assert got == {(0, 9, 69, 1, 0), (1, 0, 60, 0, 9)}
+
+
 def test_every_exact_repeat_is_found(spark):
     sf = "/root/testdata/sf0.01/documents.parquet"
     df = spark.read.parquet(sf).select("doc_id", "text")
