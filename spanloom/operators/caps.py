@@ -17,6 +17,16 @@ def per_entity_cap(pairs: DataFrame, cap: int, order: list[Column] | None = None
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
 
 
+def kinds_within(rows: DataFrame, cap: int, score: str, down: bool = False) -> DataFrame:
+    """Those of ``enriched_kinds``'s rows that can hold one of the ``cap`` best pairs of an S1 record: by ``score``, then by the first id, or the last with ``down``.
+
+    A row's best pair comes before all pairs of the rows after it, so it is in the first ``cap`` rows.
+    """
+    best = F.desc(F.element_at("__c", -1)) if down else F.element_at("__c", 1)
+    rank = F.row_number().over(W.partitionBy(S, "__of").orderBy(F.desc(score), best))
+    return rows.withColumn("__k", rank).where(F.col("__k") <= cap).drop("__k")
+
+
 def volume(s1: DataFrame, rec: DataFrame, plan: list[B.Rule]) -> DataFrame:
     """(rule_idx, volume): pairs that each rule would propose, without making them."""
     a = B.keyed(s1, plan, S).groupBy("rule_idx", "key").agg(F.count("*").alias("a"))

@@ -1,13 +1,16 @@
 """Queries on pairs work on kinds of records, and give the same rows as pair by pair."""
 
 import random
+from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom import queries
+from spanloom.functions import similarity as sim
 from spanloom.functions.keys import KEYS
-from spanloom.operators import output
+from spanloom.operators import caps, features, output
 from spanloom.plans import blocking as B
 
 S, C = B.S, B.C
@@ -49,3 +52,31 @@ def test_candidate_files_pair_kinds(tables, plain, monkeypatch, shared):
     got = sorted(map(tuple, queries.candidate_file_wide(tables).collect()))
     assert got == sorted((r["entity_id"], ",".join(lists.get(r["entity_id"], []))) for r in tables.s1.collect())
     assert sum(made) < len(plain) / 1.5
+
+
+def scores(df):
+    return sorted((r[S], r[C], round(r["score"], 12)) for r in df.select(S, C, "score").collect())
+
+
+def test_heuristics_score_kinds_once(tables, monkeypatch):
+    monkeypatch.setattr(features, "SHARED", 3)
+    expected = scores(features.heuristic_score(B.candidates(tables.s1, tables.rec, B.BASE), tables.s1, tables.rec))
+    assert scores(queries.heuristic_scores(tables)) == expected
+    rows = features.plan_heuristic(tables.s1, tables.rec, B.BASE)
+    assert rows.count() < len(expected) / 1.5
+    best, got = {}, {}
+    for s, c, v in sorted(expected, key=lambda x: (x[2], x[1]), reverse=True):
+        best.setdefault(s, []).append((v, c))
+    for s, c, v in scores(features.each_pair(caps.kinds_within(rows, 4, "score", down=True), "score")):
+        got.setdefault(s, []).append((v, c))
+    assert {s: sorted(v, reverse=True)[:4] for s, v in got.items()} == {s: v[:4] for s, v in best.items()}
+
+
+def test_ratios_of_many_pairs_equal_those_of_one():
+    rnd = random.Random(4)
+    text = lambda letters, most: "".join(rnd.choices(letters, k=rnd.randint(0, most)))
+    for letters, most in (("ab", 12), ("abc é", 70), ("abcdefghij klmnop", 140), ("abc é", 260), ("".join(map(chr, range(0x900, 0xB00))), 90)):
+        a = [text(letters, most) for _ in range(150)]
+        b = [text(letters, most) if i % 3 else x[: len(x) // 2] + text(letters, 3) + x[len(x) // 2 :] for i, x in enumerate(a)]
+        for many, one in ((sim._indel, sim._ratio), (sim._matcher, lambda x, y: SequenceMatcher(None, x, y).ratio())):
+            assert sim._batch(many, one, pa.array(a), pa.array(b)).to_pylist() == [one(x, y) for x, y in zip(a, b, strict=True)]
