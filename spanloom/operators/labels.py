@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators import caps
 from spanloom.operators import features as X
 from spanloom.plans import blocking as B
 
@@ -22,18 +23,22 @@ def _wanted(ratio: int, most: int) -> Column:
 
 def hard_negatives(pairs: DataFrame, truth: DataFrame, s1: DataFrame, rec: DataFrame, ratio: int = 5, most: int = 30) -> DataFrame:
     """The false candidates that agree on most keys: ``ratio`` for each positive of the S1 record and ``most`` at most."""
-    return _hardest(X.enrich(pairs.join(truth, [S, C], "left_anti"), s1, rec), positives(pairs, truth), ratio, most)
+    wide = X.enrich(pairs.join(truth, [S, C], "left_anti"), s1, rec)
+    return _hardest(wide.select(S, C, X.block_score().alias("block_score")).where("block_score > 0"), positives(pairs, truth), ratio, most)
 
 
 def plan_negatives(plan: list[B.Rule], truth: DataFrame, s1: DataFrame, rec: DataFrame, ratio: int = 5, most: int = 30) -> DataFrame:
-    """``hard_negatives`` of a plan's candidates, scored where they are made; only the first of each S1 record are shuffled."""
-    true = truth.groupBy(F.col(S).alias("entity_id")).agg(F.collect_set(C).alias("__true"))
-    wide = X.enriched(s1.join(true, "entity_id", "left"), rec, plan, ("__true",))
-    return _hardest(wide.where(~F.coalesce(F.array_contains("__true", F.col(C)), F.lit(False))), B.among(truth, s1, rec, plan), ratio, most)
+    """``hard_negatives`` of a plan's candidates, scored once for equal keys; only rows that can hold one of them are shuffled."""
+    found = B.among(truth, s1, rec, plan)
+    rows = X.enriched_kinds(s1, rec, plan).select(S, "__s", C, "__c", "__of", X.block_score().alias("block_score")).where("block_score > 0")
+    true = X.enrich(found, s1, rec).groupBy(S).count().agg(F.max("count")).first()[0] or 0  # so many of an S1 record's best may be true
+    true_ids = truth.groupBy(S).agg(F.collect_set(C).alias("__true"))
+    rows = caps.kinds_within(rows, most + true, "block_score").select(F.explode("__s").alias(S), "__c", "block_score").join(true_ids, S, "left")
+    false = F.filter("__c", lambda c: ~F.coalesce(F.array_contains("__true", c), F.lit(False)))
+    return _hardest(rows.select(S, F.explode(false).alias(C), "block_score"), found, ratio, most)
 
 
-def _hardest(wide: DataFrame, found: DataFrame, ratio: int, most: int) -> DataFrame:
-    scored = wide.select(S, C, X.block_score().alias("block_score")).where("block_score > 0")
+def _hardest(scored: DataFrame, found: DataFrame, ratio: int, most: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(S).orderBy(F.desc("block_score"), C))
     first = scored.withColumn("rn", rank).where(F.col("rn") <= most)  # none gets more: rows over this leave before they are shuffled
     first = first.join(found.groupBy(S).agg(F.count("*").alias("p")), S, "left").where(F.col("rn") <= _wanted(ratio, most))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom import queries
 from spanloom.functions import similarity as sim
 from spanloom.functions.keys import KEYS
-from spanloom.operators import caps, features, output
+from spanloom.operators import caps, evaluate, features, labels, output
 from spanloom.plans import blocking as B
 
 S, C = B.S, B.C
@@ -72,6 +72,19 @@ def test_heuristics_score_kinds_once(tables, monkeypatch):
     assert {s: sorted(v, reverse=True)[:4] for s, v in got.items()} == {s: v[:4] for s, v in best.items()}
 
 
+def test_negatives_and_sweeps_of_kinds(tables, monkeypatch):
+    monkeypatch.setattr(features, "SHARED", 3)
+    pairs = B.candidates(tables.s1, tables.rec, B.BASE)
+    rows = lambda df: sorted((r[S], r["rn"], r["block_score"], r[C]) for r in df.collect())
+    args = (tables.truth, tables.s1, tables.rec, 2, 5)
+    assert rows(labels.plan_negatives(B.BASE, *args)) == rows(labels.hard_negatives(pairs, *args))
+    kinds = features.enriched_kinds(tables.s1, tables.rec, B.BASE).withColumn("score", features.block_score() / 9)
+    each = features.enrich(pairs, tables.s1, tables.rec).withColumn("score", features.block_score() / 9)
+    hits = features.enrich(B.among(tables.truth, tables.s1, tables.rec, B.BASE), tables.s1, tables.rec).withColumn("score", features.block_score() / 9)
+    sweep = lambda *x: sorted(map(tuple, evaluate.entity_sweep(tables.s1, x[0], tables.truth, queries.THRESHOLDS, *x[1:]).collect()))
+    assert sweep(evaluate.reached(kinds, queries.THRESHOLDS), hits) == sweep(each)
+
+
 def test_ratios_of_many_pairs_equal_those_of_one():
     rnd = random.Random(4)
     text = lambda letters, most: "".join(rnd.choices(letters, k=rnd.randint(0, most)))
